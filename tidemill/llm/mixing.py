@@ -96,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     used = F.when(F.col("_b") > F.col("_a"), F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_b") - 1) / block)))
     pieces = turns.select("*", F.explode_outer(used).alias("_block"))
     overlap = F.least(F.col("_b"), (F.col("_block") + 1) * block) - F.greatest(F.col("_a"), F.col("_block") * block)
-    pieces = pieces.select("row", "_s", "_group", "_n", "size", "source_size", "target", "_block", F.coalesce(overlap, F.lit(0)).alias("_words"))
+    pieces = pieces.select("row", "_s", "_group", "_n", "size", "source_size", "target", "_block", F.when(F.col("_block").isNull(), 0).otherwise(overlap).alias("_words"))
     slots = math.ceil(words / block)
     plan = schedule(spark, targets, slots)
     # A block that the points leave without a slot, for rounding, comes after all of them.
