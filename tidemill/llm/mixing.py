@@ -60,22 +60,24 @@ def schedule(spark: SparkSession, targets: DataFrame, slots: int) -> DataFrame:
     return ranked.select("_s", (F.col("_before") + F.col("_rank")).cast("long").alias("_block"), "slot")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, block: int = 1024, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, block: int = 1024, seed: str = "mix") -> DataFrame:
     """What a mix of share * all words takes of each document; one row for each row of docs.
 
     Sources stand in code point order, null last, and get the weights in turn. The documents of a source, in the order
     of a hash of their ids, are one stream of words, read again from its start when it ends; the stream is cut into
     blocks of `block` words and the schedule's slots take one after another, the last cut at the target. Returns `row`
-    (the columns of docs), size, source_size, target, taken, first_slot (null if nothing is taken).
+    (the columns of docs named in carry: texts don't need to go along), size, source_size, target, taken, first_slot
+    (null if nothing is taken).
 
     Null or empty text has size 0 and is taken 0 times. Repeated rows are documents of their own. Ties of the hash go
     by id, then size. An empty table gives an empty table. Names in docs can't clash: they stay inside `row`. most is
     a whole number. Reruns agree.
     """
     spark = docs.sparkSession
-    src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), C.n_words(C.text_of(text_col)).alias("size"), source_key(F.col(source_col)).alias("_s"))
+    src = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("_id"), C.n_words(C.text_of(text_col)).alias("size"), source_key(F.col(source_col)).alias("_s"))
+    src = C.written(src, "mix-sizes")
     src = src.withColumn("_hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    n = docs.count()
+    n = src.count()
     groups = min(MOST_GROUPS, max(1, math.ceil(n / 256)))
     width = math.ceil(2**32 / groups)
     src = src.withColumn("_group", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") / width))
