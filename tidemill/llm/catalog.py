@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import fingerprints, licenses, lines, mixing, packing, quality
 
 QUERIES = {
+    "op1_order_minhash": fingerprints.op1_order_minhash,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_packing": packing.op5_packing,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op9_quality_forest": quality.op9_quality_forest,
 }
 
 SQL = {
