@@ -48,8 +48,7 @@ LEAST_SHARE = 0.7
 
 def license_words(text: Column) -> Column:
     """The array of words; a text without any has none."""
-    low = C.ascii_lower(text)
-    return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(C.ascii_lower(text), NOT_WORD), "")
 
 
 def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]], k: int) -> DataFrame:
@@ -79,14 +78,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     templates = template_grams(spark, phrases, notices, k)
     sizes = sorted({min(k, len(text.split())) for text in [p[0] for p in phrases] + [n[1] for n in notices]})
-    grams = F.broadcast(templates.withColumn("_h", F.xxhash64(F.split("_gram", " "))).drop("_gram").join(templates.select("_t", "_at", F.split("_gram", " ").alias("_ws")), ["_t", "_at"]))
+    grams = F.broadcast(templates.withColumn("_ws", F.split("_gram", " ")).withColumn("_h", F.xxhash64(F.transform("_ws", lambda w: F.xxhash64(w)))).drop("_gram"))
 
     src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), C.text_of(text_col).alias("_text"))
     src = src.withColumn("_th", F.xxhash64("_text")).withColumn("_words", license_words(F.col("_text"))).drop("_text")
 
-    seen = src.select("_id", "_th", "_words")
-    at = lambda i: F.get(F.col("_words"), i)
-    rolled = F.flatten(F.array(*(F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - (s - 1), F.lit(0))), lambda w, i: F.struct(i.alias("i"), F.lit(s).alias("size"), F.xxhash64(F.array(w, *(at(i + j) for j in range(1, s)))).alias("h"))) for s in sizes)))
+    seen = src.select("_id", "_th", "_words", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hs"))
+    at = lambda i: F.get(F.col("_hs"), i)
+    rolled = F.flatten(F.array(*(F.transform(F.slice("_hs", 1, F.greatest(F.size("_hs") - (s - 1), F.lit(0))), lambda h, i: F.struct(i.alias("i"), F.lit(s).alias("size"), F.xxhash64(h, *(at(i + j) for j in range(1, s))).alias("h"))) for s in sizes)))
     rolled = seen.select("_id", "_th", "_words", F.explode(rolled).alias("_g"))
     votes = rolled.join(grams, (F.col("_g.size") == F.col("_size")) & (F.col("_g.h") == F.col("_h")))
     votes = votes.where(F.slice("_words", F.col("_g.i") + 1, F.col("_size")) == F.col("_ws"))
@@ -94,6 +93,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     template = ["_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size"]
     diagonals = votes.groupBy(*template, "_diagonal").agg(F.collect_set("_at").alias("_ats"))
+    diagonals = C.written(diagonals, "license-diagonals")
     base = diagonals.where(F.col("_base") & (F.size("_ats") == F.col("_grams"))).select("_id", "_th", "_base", "_label", F.col("_diagonal").alias("_start"), (F.col("_diagonal") + F.col("_of")).alias("_stop"), F.lit(1.0).alias("_share"))
 
     along = Window.partitionBy("_id", "_th", "_t").orderBy("_diagonal")
