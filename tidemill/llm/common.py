@@ -68,3 +68,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hashed_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About `rows` rows of a written table, all if it has fewer, chosen by a hash of the id: the same on each run, and
+    without sending more than them to the driver."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / n)))
