@@ -33,11 +33,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share; documents of which nothing stays go."""
+    """Documents without the lines that ten or more of them share. A document of which nothing stays is kept, empty."""
     out = lines.drop_repeated_lines(docs)
     text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
     changed = F.struct(*(text.alias(c) if c == "text" else (F.length("kept").cast("long") if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
-    return out.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(C.SPACE)) != "")).select(changed.alias("row")).select("row.*")
+    return out.select(changed.alias("row")).select("row.*")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

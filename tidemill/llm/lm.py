@@ -183,7 +183,8 @@ def trained(counts: DataFrame, ends: int, path: str) -> Model:
             for word, c in zip(b["word"], b["c"], strict=True):
                 for p in lattice.longest(word):
                     n[p] += c
-        yield pd.DataFrame({"piece": list(n.keys()), "n": list(n.values())}).astype({"n": "int64"})
+        if n:
+            yield pd.DataFrame({"piece": list(n.keys()), "n": list(n.values())})
 
     known = counts.where("c > 0")
     r = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()

@@ -221,7 +221,8 @@ def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | Non
             if len(n) > 1_000_000:
                 yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
                 n.clear()
-        yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())}).astype({"n": "int64"})
+        if n:
+            yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
 
     return rows.select("_text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
