@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -66,7 +67,8 @@ class Blocks:
     Linked sets of sizes a and b differ in (1-t)/(1+t)*(a+b) shingles at most. Sizes fall into classes such that linked
     sets are in one class or in neighbours. For each class, shingles are dealt to more groups than linked sets of it can
     differ in, so one group that isn't empty holds the same shingles in both: its content is the signature. A set gives
-    signatures for its class and the next; one with too many empty groups gives the empty ones too.
+    signatures for its class and the next. There are so many groups that even the least set of a class has enough that
+    aren't empty, by three standard deviations; the rare set that has not gives its empty ones too.
     """
 
     def __init__(self, num: int, den: int):
@@ -74,17 +76,27 @@ class Blocks:
         while self.bounds[-1] < 1 << 40:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, (b - 1) * den // num + 1))
+        self.groups: dict[int, int] = {}
 
     def differ(self, c: int) -> int:
         return (self.den - self.num) * 2 * (self.bounds[c + 1] - 1) // (self.den + self.num)
 
+    def group_count(self, c: int) -> int:
+        if c not in self.groups:
+            most, least = self.differ(c), self.bounds[max(0, c - 1)]
+            n = most + 2
+            while n < 2 * most + 16 and n * (1 - math.exp(-least / n)) - 3 * math.sqrt(n * math.exp(-least / n)) <= most:
+                n += 1 + most // 200
+            self.groups[c] = n
+        return self.groups[c]
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         c, out = bisect_right(self.bounds, len(s)) - 1, []
         for at in (c, c + 1):
             most = self.differ(at)
             if not most:  # only equal sets link
                 continue
-            groups = most + 2 + (most + 19) // 20
+            groups = self.group_count(at)
             g = (s % np.uint64(groups)).astype(np.int64)
             content = np.zeros(groups, np.uint64)
             np.add.at(content, g, _mixed(s ^ np.uint64(at + 1)))
