@@ -34,10 +34,17 @@ LEAST_ROWS, LEAST_SHARE = 4, 0.001
 PREFIXES = (4, 5, 6, 7)
 TOP = 5
 
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-#: What looks disguised: a sign or filler between letters, a letter three times in a row, or single characters in a row.
-_ODD = re.compile(r"[a-z][0-9@$!|+(<€£¡._\-*~^'`]+[a-z]|^[0-9@$!|+(<€£¡][a-z]{2}|[a-z]{2}[0-9@$!|+€£]$|([a-z])\1\1", re.ASCII)
+#: Four or more single characters in a row, each with a filler at most.
+_SPACED = re.compile(r"(?<!\S)\S[._\-*~^'`,]?(?:\s+\S[._\-*~^'`,]?){3,}(?!\S)")
+#: What looks disguised: signs or fillers between letters, a sign at an end of letters, a letter three times in a row.
+_ODD = re.compile(r"[a-z][0-9@$!|+(<€£¡._\-*~^'`]+[a-z]|^[0-9@$!|+(<€£¡][a-z]{2}|[a-z]{2}[0-9@$!|+€£]$")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+_ENDS = ".,;:!?()\"'"
+#: Words whose weights, and disguised tokens whose restorations, a worker remembers.
+REMEMBERED = 300_000
+#: Characters of a spaced word that features can see.
+LONGEST = 16
 
 
 def state(ch: str) -> int:
@@ -110,26 +117,27 @@ class Channel:
             node = node[1]
         return "".join(reversed(out))
 
-    def restored(self, text: str) -> list[str]:
-        """The words of the text in lower case, disguised ones beside what they stand for."""
-        words: list[str] = []
-        run: list[str] = []
-
-        def close() -> None:
-            if len(run) > 3:
-                words.append(self._remember("".join(run)))
-            run.clear()
-
-        for token in _TOKEN.findall(text.lower()):
-            if len(token) == 1 or (len(token) == 2 and token[1] in FILLERS):
-                run.append(token[0])
-                continue
-            if run:
-                close()
-            words += _LETTER_RUN.findall(token)
-            if _ODD.search(token):
-                words += _LETTER_RUN.findall(self._remember(token))
-        close()
+    def restored(self, text: str) -> set[str]:
+        """The words of the text in lower case, and what its disguised tokens stand for."""
+        low = text.lower()
+        words: set[str] = set()
+        triple = _TRIPLE.search(low) is not None
+        for token in set(low.split()):
+            bare = token.strip(_ENDS)
+            if bare.isalpha():
+                words.add(bare)
+                if triple and _TRIPLE.search(bare):
+                    words.update(_LETTER_RUN.findall(self._remember(bare)))
+                if token[-1:] not in "!" or not _ODD.search(token):
+                    continue
+            else:
+                words.update(_LETTER_RUN.findall(token))
+                if not (_ODD.search(token) or _TRIPLE.search(token)):
+                    continue
+            words.update(_LETTER_RUN.findall(self._remember(token)))
+        for m in _SPACED.finditer(low):
+            run = self._remember("".join(t[0] for t in m[0].split()))
+            words.update(run[i : i + LONGEST] for i in range(len(run)))  # where one spaced word ends isn't known
         return words
 
     def _remember(self, token: str) -> str:
@@ -137,7 +145,7 @@ class Channel:
             return self.decode(token)
         known = self.__dict__.setdefault("_known", {})
         if token not in known:
-            if len(known) > 100_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             known[token] = self.decode(token)
         return known[token]
@@ -146,29 +154,32 @@ class Channel:
         return {"cost": self.cost}
 
 
-def features(words: list[str]) -> set[str]:
+def features(words: set[str]) -> set[str]:
     """Words, marked as whole, and their beginnings."""
-    distinct = set(words)
-    return {w + "$" for w in distinct} | {w[:n] for w in distinct for n in PREFIXES if len(w) >= n}
+    return {w + "$" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
 class Scorer:
     """weight of each feature, and the logistic over the strongest of a text."""
 
     def __init__(self, weights: dict[str, float], coefficients: tuple[float, float, float]):
-        self.weights, self.coefficients = weights, coefficients
-
-    def evidence(self, words: list[str]) -> tuple[float, float]:
-        """The largest weight, and the sum of the largest few, each word counting once by its strongest feature."""
-        get, found = self.weights.get, []
-        for w in set(words):
-            best = max([get(w + "$", 0.0), *(get(w[:n], 0.0) for n in PREFIXES if len(w) >= n)])
-            if best > 0:
-                found.append(best)
-        found.sort(reverse=True)
+        self.weights, self.coefficients, self.words = weights, coefficients, {}
+
+    def weight(self, w: str) -> float:
+        """Of the word's strongest feature."""
+        if w not in self.words:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            get = self.weights.get
+            self.words[w] = max([get(w + "$", 0.0), *(get(w[:n], 0.0) for n in PREFIXES if len(w) >= n)])
+        return self.words[w]
+
+    def evidence(self, words: set[str]) -> tuple[float, float]:
+        """The largest weight, and the sum of the largest few, each word counting once."""
+        found = sorted((v for v in map(self.weight, words) if v > 0), reverse=True)
         return (found[0], sum(found[:TOP])) if found else (0.0, 0.0)
 
-    def score(self, words: list[str]) -> float:
+    def score(self, words: set[str]) -> float:
         top, some = self.evidence(words)
         a, b, c = self.coefficients
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, a * top + b * some + c))))
@@ -230,7 +241,8 @@ def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | Non
 def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: int) -> Scorer:
     """docs: _id, _text, of the training rows only; labels: _id, toxic. Three quarters of the labelled rows count the
     features, all of them; the rest, a bounded sample, fits the logistic."""
-    rows = C.written(docs.join(labels, "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(4))), "toxic-rows")
+    # The labels are never broadcast: how many there are grows with the input, and all sizes take one plan.
+    rows = C.written(docs.hint("merge").join(labels, "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(4))), "toxic-rows")
     bad, good = rows.where("toxic = 1 AND _part > 0"), rows.where("toxic = 0 AND _part > 0")
     n_bad, n_good = bad.count(), good.count()
     counts = feature_counts(bad, channel).where(F.col("n") >= max(LEAST_ROWS, math.ceil(LEAST_SHARE * n_bad)))
@@ -249,7 +261,7 @@ def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: i
             e = np.array([blank.evidence(channel.restored(t)) for t in b["_text"]]).reshape(-1, 2)
             yield pd.DataFrame({"top": e[:, 0], "some": e[:, 1], "toxic": b["toxic"].to_numpy()})
 
-    seen = part.select("_text", "toxic").mapInPandas(evidence, "top double, some double, toxic int").orderBy("top", "some", "toxic").toPandas()
+    seen = part.select("_text", "toxic").mapInPandas(evidence, "top double, some double, toxic int").toPandas().sort_values(["top", "some", "toxic"])
     return Scorer(weights, fit_logistic(seen[["top", "some"]].to_numpy(float), seen["toxic"].to_numpy(float)))
 
 
@@ -268,7 +280,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(fold("_id", folds) != held_fold).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     channel = channel_of(src)
-    scorer = trained(src, known, channel, sample_rows)
+    scorer = trained(src.where(F.col("_id").isNotNull() & (fold("_id", folds) != held_fold)), known, channel, sample_rows)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
