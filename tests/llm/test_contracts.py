@@ -399,6 +399,8 @@ def test_op7_lattice():
                     p = 0.0
             total += p
         assert lattice.log_probability(word) == pytest.approx(math.log(total))
+        for cut in (lattice.longest(word), lattice.best(word)[::-1]):
+            assert "".join(p for p in cut if not p.startswith("<0x")) == s.replace("é", "")
         assert "".join(p for p in lattice.longest(word) if not p.startswith("<0x")) == s.replace("é", "")
     assert math.isfinite(lattice.log_probability("ab" * 20_000))
 

@@ -58,10 +58,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application writes its tables."""
+    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written. Results that haven't been read to their end need them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs a read and no more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,6 +25,8 @@ PRIOR_TOKENS = 1000.0
 START = "▁"
 #: Marks a row that stands for a document's own sums. No word starts with a space.
 OWN = " "
+#: Stands for the end of a text among the pieces, once; no word starts with a space.
+END = " end"
 
 
 def default_vocabulary() -> str:
@@ -99,7 +101,7 @@ class Lattice:
             best[j] = v
 
     def longest(self, word: str) -> list[str]:
-        """The word's pieces by longest match from the left, for counts."""
+        """The word's pieces by longest match from the left: a first guess for counts."""
         s, out, i = START + word, [], 0
         while i < len(s):
             j, found = i + 1, 0
@@ -116,6 +118,34 @@ class Lattice:
         return out
 
 
+    def best(self, word: str) -> list[str]:
+        """The pieces of the word's likeliest segmentation."""
+        s, logs, prefixes = START + word, self.logs, self.prefixes
+        n = len(s)
+        value, start = [-math.inf] * (n + 1), [0] * (n + 1)
+        value[0] = 0.0
+        for i in range(n):
+            here = value[i]
+            if here == -math.inf:
+                continue
+            if s[i] not in logs:
+                v = here + sum(self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass"))
+                if v > value[i + 1]:
+                    value[i + 1], start[i + 1] = v, i
+            j = i + 1
+            while j <= n and (part := s[i:j]) in prefixes:
+                v = logs.get(part)
+                if v is not None and here + v > value[j]:
+                    value[j], start[j] = here + v, i
+                j += 1
+        out, j = [], n
+        while j:
+            part = s[start[j] : j]
+            out += [part] if part in logs else [f"<0x{b:02X}>" for b in part.encode("utf-8", "surrogatepass")]
+            j = start[j]
+        return out
+
+
 def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
@@ -172,27 +202,34 @@ class Model:
         return math.log10(self.discount * self.distinct / self.tokens) + log_p / math.log(10)
 
 
-def trained(counts: DataFrame, ends: int, path: str) -> Model:
-    """counts: word_counts() as a written table."""
-    prior = vocabulary(path)
-    lattice = Lattice({p: math.log(w) for p, w in prior.items()})
+def piece_weights(words: DataFrame, lattice: Lattice, guess: bool, prior: dict[str, float]) -> dict[str, float]:
+    """The log weight of each piece from how often it stands in the distinct words, PRIOR_TOKENS of them by the prior.
+    A word counts once however frequent it is: what the discount leaves to the lattice, it leaves by word. The driver
+    gets a count for each piece of the file."""
 
-    def piece_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
+        cut = lattice.longest if guess else lattice.best
         for b in batches:
-            for word, c in zip(b["word"], b["c"], strict=True):
-                for p in lattice.longest(word):
-                    n[p] += c
+            for word in b["word"]:
+                n.update(cut(word))
         if n:
             yield pd.DataFrame({"piece": list(n.keys()), "n": list(n.values())})
 
+    pieces = {r.piece: r.n for r in words.mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    total = sum(pieces.values()) + PRIOR_TOKENS + 1
+    return {p: math.log((pieces.get(p, 0) + PRIOR_TOKENS * w) / total) for p, w in prior.items()} | {END: -math.log(total)}
+
+
+def trained(counts: DataFrame, ends: int, path: str) -> Model:
+    """counts: word_counts() as a written table. Pieces are counted by longest match, then by best segmentation."""
+    prior = vocabulary(path)
     known = counts.where("c > 0")
     r = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    pieces = {p.piece: p.n for p in known.select("word", "c").mapInPandas(piece_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    total = sum(pieces.values()) + PRIOR_TOKENS + ends + 1
-    logs = {p: math.log((pieces.get(p, 0) + PRIOR_TOKENS * w) / total) for p, w in prior.items()}
+    logs = piece_weights(known.select("word"), Lattice({p: math.log(w) for p, w in prior.items()}), True, prior)
+    logs = piece_weights(known.select("word"), Lattice(logs), False, prior)
     ones, twos = r[2], r[3]
-    return Model(r[1] + ends, r[0] + (ends > 0), ends, ones / (ones + 2 * twos) if ones and twos else 0.5, logs, math.log((ends + 1) / total))
+    return Model(r[1] + ends, r[0] + (ends > 0), ends, ones / (ones + 2 * twos) if ones and twos else 0.5, logs, logs[END])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, path: str | None = None, heavy_share: int = HEAVY_SHARE) -> DataFrame:
@@ -202,7 +239,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tokens are the words, A-Z lowered, and one end. base_score is the smoothed unigram score of the words. score is the
     log10 probability of the text: each word's is its discounted share of the training tokens, and what the discount
     leaves over, times its marginal over all segmentations into the pieces of the vocabulary file. The pieces' weights
-    are their counts in all training words by longest match, over a prior from their ranks.
+    are their counts in all training words, over a prior from their ranks.
 
     Each word's lattice is run once over the table of all words. Null or empty text: the end alone. Null ids are held
     out, as the empty id is. Repeated rows get equal scores. Without training rows the prior scores alone. An empty
