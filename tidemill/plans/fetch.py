@@ -44,15 +44,17 @@ def _key(url: Column) -> Column:
 
 
 def targets(df: DataFrame, url: str, dns: DataFrame, settings: Settings, redirect: bool) -> DataFrame:
-    """Adds checked, and error: what is wrong with the url itself or with its host's answers."""
+    """Adds site, the url's origin, and error: what is wrong with the url itself or with its host's answers."""
+    c, kept = F.col("checked"), df.columns
     df = urls.check_urls(df, url, settings.policy.allow_loopback, redirect)
-    answers = hosts.resolve(dns, settings.policy, redirect).select(F.col("host").alias("_host"), F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message")).alias("_dns"))
-    name = F.when(F.col("checked.error_code").isNull() & (F.col("checked.host_kind") == "name"), F.col("checked.host"))
-    df = df.withColumn("_name", name).join(answers, F.col("_name") == F.col("_host"), "left")
-    bad = _failure(F.col("checked.error_code").isNotNull(), F.col("checked.error_code"), F.col("checked.error_message"))
-    unknown = _failure(F.col("_name").isNotNull() & F.col("_host").isNull(), "dns_failure", errors.NO_DNS)
-    refused = _failure(F.col("_dns.code").isNotNull(), F.col("_dns.code"), F.col("_dns.message"))
-    return bound(df, error=F.coalesce(bad, unknown, refused)).drop("_name", "_host", "_dns")
+    # Plain columns from here on: fields of a struct don't pass through generators and joins as well.
+    df = df.select(*kept, c["error_code"].alias("_code"), c["error_message"].alias("_message"), F.when(c["host_kind"] == "name", c["host"]).alias("_host"), urls.origin(c).alias("site"))
+    answers = hosts.resolve(dns, settings.policy, redirect).select(F.col("host").alias("_known"), F.col("error_code").alias("_dns_code"), F.col("error_message").alias("_dns_message"))
+    df = df.withColumn("_name", F.when(F.col("_code").isNull(), F.col("_host"))).join(answers, F.col("_name") == F.col("_known"), "left")
+    bad = _failure(F.col("_code").isNotNull(), F.col("_code"), F.col("_message"))
+    unknown = _failure(F.col("_name").isNotNull() & F.col("_known").isNull(), "dns_failure", errors.NO_DNS)
+    refused = _failure(F.col("_dns_code").isNotNull(), F.col("_dns_code"), F.col("_dns_message"))
+    return df.select(*kept, "site", F.coalesce(bad, unknown, refused).alias("error"))
 
 
 def redirect_edges(responses: DataFrame, dns: DataFrame, settings: Settings) -> DataFrame:
@@ -131,7 +133,7 @@ def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataF
     error = F.coalesce("bad_arguments", "error")
     if settings.enforce_robots and robots is not None:
         rules = robots_rules.records(robots).select(F.col("origin").alias("_origin"), "records")
-        df = df.join(rules, F.when(error.isNull(), urls.origin(F.col("checked"))) == F.col("_origin"), "left")
+        df = df.join(rules, F.when(error.isNull(), F.col("site")) == F.col("_origin"), "left")
         path = urls.path(F.col("url"))
         error = F.coalesce(error, _failure(~robots_rules.allowed(F.col("records"), F.lit(settings.agent), path), "robots_disallowed", F.concat(F.lit("robots.txt disallows fetching "), path)))
     df = df.select("request_id", "url", "max_length", "start_index", "raw", F.col("url").alias("current"), F.lit(0).alias("redirects"), error.alias("error"))

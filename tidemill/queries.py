@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import content, errors, ip, links, text, urls
 from .functions.arguments import parse_arguments
+from .functions.bind import bound
 from .functions.html import attribute_peak
 from .functions.markdown import DROPPED, markdown_of
 from .operators import policy, redirects, robots, stats
@@ -317,8 +318,9 @@ SELECT page_id, NOT regexp_matches(url, '^https:') OR starts_with(path, '/en/12'
 """)
 def robots_pages(spark, sf_dir):
     """Each https origin has the same file; http origins have none."""
-    pages = urls.check_urls(read(spark, sf_dir, "pages").select("page_id", "url")).withColumn("origin", urls.origin(F.col("checked")))
-    have = pages.where("checked.https").select("origin", F.lit(ROBOTS_BODY).alias("body")).distinct()
+    pages = urls.check_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = bound(pages, origin=urls.origin(F.col("checked")), https=F.col("checked.https")).drop("checked")
+    have = pages.where("https").select("origin", F.lit(ROBOTS_BODY).alias("body")).distinct()
     j = pages.join(robots.records(have), "origin", "left")
     return j.select("page_id", robots.allowed(F.col("records"), F.lit("tidemill/0.1"), urls.path(F.col("url"))).alias("allowed"))
 
