@@ -491,12 +491,12 @@ given(
     [(1, "identity", False), (2, "gzip", False), (3, "unsupported", False), (4, "unsupported", False), (5, "identity", False), (6, "identity", True), (7, "identity", True)],
 )
 
-_UA = "fetch-mcp/1.2.3"
+_UA = "page-reader/1.2.3"
 _ROBOTS = [
     ("", "/x", True), ("User-agent: *\nDisallow: /private", "/private/a", False), ("User-agent: *\nDisallow: /private", "/public", True), ("User-agent: *\nDisallow:", "/x", True),
-    ("User-agent: *\nDisallow: /\nAllow: /ok", "/ok/1", True), ("User-agent: *\nDisallow: /a\nAllow: /a", "/a", True), ("User-agent: fetch\nDisallow: /\n\nUser-agent: *\nDisallow:", "/x", False),
+    ("User-agent: *\nDisallow: /\nAllow: /ok", "/ok/1", True), ("User-agent: *\nDisallow: /a\nAllow: /a", "/a", True), ("User-agent: page\nDisallow: /\n\nUser-agent: *\nDisallow:", "/x", False),
     ("User-agent: other\nDisallow: /", "/x", True), ("User-agent: a\nUser-agent: *\nDisallow: /p # note", "/p", False), ("Disallow: /\nUser-agent: *\nAllow: /", "/x", True), ("User-agent: *\nDisallow: /*.pdf", "/a.pdf", True),
-    ("User-agent: fetch\nAllow: /\nUser-agent: fetch-mcp\nDisallow: /", "/x", False), ("user-AGENT: *\r\nDISALLOW: /x\r\n", "/x", False), ("User-agent: *\nDisallow: /", "", False), ("no colon\nUser-agent *\n", "/", True),
+    ("User-agent: page\nAllow: /\nUser-agent: page-reader\nDisallow: /", "/x", False), ("user-AGENT: *\r\nDISALLOW: /x\r\n", "/x", False), ("User-agent: *\nDisallow: /", "", False), ("no colon\nUser-agent *\n", "/", True),
 ]
 given(
     "robots_allowed",
