@@ -68,6 +68,8 @@ def redirect_edges(responses: DataFrame, dns: DataFrame, settings: Settings) ->
 
 def followed(df: DataFrame, edges: DataFrame) -> DataFrame:
     """current, redirects and error after the redirects: a join for each hop, of a few columns."""
+    if edges.isEmpty():  # a plan without the joins; the edges are kept, so this costs nothing twice
+        return df
     keep = [c for c in df.columns if c not in ("current", "redirects", "error")]
     for _ in range(MOST_REDIRECTS):
         df = df.join(edges, F.when(F.col("error").isNull(), _key(F.col("current"))) == F.col("_from"), "left")
