@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
+    "op3_ngram_jaccard_join": jaccard.OP3_SQL,
     "op6_line_dedup": lines.OP6_SQL,
 }
