@@ -14,6 +14,7 @@ ESCAPABLE_RAW_TEXT = frozenset(["title", "textarea"])
 
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]+)|#([0-9]+)|([A-Za-z][A-Za-z0-9]*));")
 _NAME = re.compile(r"[^\t\n\f\r />]+")
+_BARE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)>")
 _SPACE_OR_SLASH = re.compile(r"[\t\n\f\r /]*")
 _ATTRIBUTE = re.compile(r"""(=?[^\t\n\f\r />=]*)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:"([^"]*)("?)|'([^']*)('?)|([^\t\n\f\r >]*)))?""")
 _COMMENT_END = re.compile(r"--!?>")
@@ -105,26 +106,32 @@ def too_many_attributes(html: str) -> bool:
 def tokens(html: str) -> Iterator[tuple]:
     """("text", string, decode), ("start", name, attributes, position), ("end", name): names in lower case, of repeated
     attributes the first. An unfinished tag at the end gives nothing."""
-    at, n, text = 0, len(html), []
+    at, n, text = 0, len(html), ""
+    find, bare_tag = html.find, _BARE_TAG.match
     while at < n:
-        lt = html.find("<", at)
+        lt = find("<", at)
         if lt < 0 or lt + 1 >= n:
-            text.append(html[at:])
+            text += html[at:]
             break
-        text.append(html[at:lt])
+        if lt > at:
+            text += html[at:lt]
+        m = bare_tag(html, lt)
         c = html[lt + 1]
-        if c.isascii() and c.isalpha() or (c == "/" and lt + 2 < n and html[lt + 2].isascii() and html[lt + 2].isalpha()):
-            closing = c == "/"
-            name = _NAME.match(html, lt + 1 + closing)
-            attributes, at = _attributes(html, name.end())
-            if joined := "".join(text):
-                yield ("text", joined, True)
-            text = []
+        if m or (c.isascii() and c.isalpha()) or (c == "/" and lt + 2 < n and html[lt + 2].isascii() and html[lt + 2].isalpha()):
+            if m:
+                closing, tag, attributes, at = m[1], m[2].lower(), {}, m.end()
+            else:
+                closing = c == "/"
+                name = _NAME.match(html, lt + 1 + closing)
+                tag = name[0].lower()
+                attributes, at = _attributes(html, name.end())
+            if text:
+                yield ("text", text, True)
+                text = ""
             if at < 0:
                 return
             if at - lt > LARGEST_TAG:
                 raise LimitError
-            tag = name[0].lower()
             if closing:
                 yield ("end", tag)
                 continue
@@ -147,14 +154,14 @@ def tokens(html: str) -> Iterator[tuple]:
         elif c in "!?/":
             end = html.find(">", lt + 2 - (c == "/" and html.startswith("</>", lt)))
             if c == "/" and lt + 2 >= n:
-                text.append("</")
+                text += "</"
                 break
             at = end + 1 if end >= 0 else n
         else:
-            text.append("<")
+            text += "<"
             at = lt + 1
-    if joined := "".join(text):
-        yield ("text", joined, True)
+    if text:
+        yield ("text", text, True)
 
 
 def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:

@@ -113,14 +113,15 @@ class Writer:
     def emit(self, s: str) -> None:
         if not s:
             return
-        n = len(s.encode("utf-8", "replace")) if not s.isascii() else len(s)
+        n = len(s) if s.isascii() else len(s.encode("utf-8", "replace"))
         self.out.append(s)
-        self.bytes += n
         self.step_bytes += n
         if self.step_bytes > STEP_BYTES:
             raise LimitError
-        if self.stage == "held" and self.bytes > HOLDBACK_BYTES:
-            self.stage = "whole"
+        if self.stage == "held":
+            self.bytes += n
+            if self.bytes > HOLDBACK_BYTES:
+                self.stage = "whole"
 
     def put(self, s: str) -> None:
         t = self.table
@@ -146,13 +147,15 @@ class Writer:
             if not self.started:
                 self.emit(self.prefix())
                 self.started = True
-        if self.space and self.has_content():
-            self.put(" ")
-        self.space = False
-        for f in self.frames:
-            if not f[3]:
-                f[3] = True
-                self.put(f[1])
+        if self.space:
+            if self.has_content():
+                self.put(" ")
+            self.space = False
+        if self.frames and not self.frames[-1][3]:
+            for f in self.frames:
+                if not f[3]:
+                    f[3] = True
+                    self.put(f[1])
 
     def has_content(self) -> bool:
         return self.filled if self.table.cell is None else bool(self.table.cell_bytes)
@@ -309,7 +312,7 @@ class Writer:
             return ("skip", self.skipping, False)
         full = self.open >= MOST_OPEN and not void
         landmark = False
-        if name in ("main", "article") or at.get("role", "").strip().lower() == "main":
+        if name in ("main", "article") or ("role" in at and at["role"].strip().lower() == "main"):
             if self.stage == "held":
                 self.reset()
                 self.stage, self.inside, landmark = "landmark", 1, True
