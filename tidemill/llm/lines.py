@@ -49,8 +49,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spots = spots.select("_id", "_th", "_pos", "_h1", "_h2")
     hot = F.broadcast(frequent.where(heavy).select("_h1", "_h2", F.lit(True).alias("_hot")))
     flagged = spots.join(hot, ["_h1", "_h2"], "left")
-    light = frequent.where(~heavy).select("_h1", "_h2")
-    gone = flagged.where("_hot").select("_id", "_th", "_pos").unionByName(flagged.where("_hot IS NULL").join(light, ["_h1", "_h2"]).select("_id", "_th", "_pos"))
+    # Heavy lines are settled; they pass the shuffle join under keys of their own, which spread them and match nothing.
+    settled = F.col("_hot").isNotNull()
+    flagged = flagged.select("_id", "_th", "_pos", "_hot", F.when(settled, F.xxhash64("_id", "_th", "_pos")).otherwise(F.col("_h1")).alias("_k1"), F.when(~settled, F.col("_h2")).alias("_k2"))
+    light = frequent.where(~heavy).select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), F.lit(True).alias("_light"))
+    gone = flagged.join(light, ["_k1", "_k2"], "left").where("_hot OR _light").select("_id", "_th", "_pos")
     gone = gone.groupBy(F.col("_id").alias("_id2"), F.col("_th").alias("_th2")).agg(F.collect_set("_pos").alias("_gone"))
 
     joined = src.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left")
