@@ -19,8 +19,8 @@ LENGTH = 4096
 END_ID = 2
 #: Documents to a group on average. A group is packed in one task; this bounds its memory whatever the input.
 GROUP_DOCS = 8192
-#: Words whose ids a worker remembers at once, some 120 MB.
-CACHE_WORDS = 500_000
+#: Entries of each of the two tables of ids that a worker remembers, some 150 MB in all.
+CACHE_WORDS = 350_000
 
 
 def default_tokenizer() -> str:
@@ -32,9 +32,10 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes, the same that `tokenizers` gives for the file.
 
-    The file's rules split a text into words and merge within each, so a word has the same ids everywhere and is merged
-    once. That short way takes texts of letters whose lower case and normal form are one character; all others, and
-    those that hold a special token's string, go through `tokenizers` as a whole.
+    The file's rules split a text at white space and further into words, and merge within each: a word has the same ids
+    everywhere and is merged once, and so has what stands between white space. That short way takes texts of letters
+    whose lower case and normal form are one character; all others, and those that hold a special token's string, go
+    through `tokenizers` as a whole.
     """
 
     PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-įı-ž]*")
@@ -51,31 +52,39 @@ class WordTokenizer:
         self.bare = Tokenizer.from_str(json.dumps(bare))
         suffix = spec["model"]["end_of_word_suffix"]
         self.last = {i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by what stands between white space
+        self.merged: dict[str, bytes] = {}  # by word
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+    def merge(self, new: list[str]) -> None:
+        """Learns the ids of words: they are encoded as one text, and a word's last id ends it."""
         ids, one = self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, []
         at = iter(new)
         for i in ids:
             one.append(i)
             if i in self.last:
-                self.known[next(at)] = b"".join(x.to_bytes(4, "little") for x in one)
+                self.merged[next(at)] = b"".join(x.to_bytes(4, "little") for x in one)
                 one = []
 
+    def learn(self, new: set[str]) -> None:
+        words = {t: self.words.findall(t) for t in new}
+        if len(self.merged) > CACHE_WORDS:
+            self.merged.clear()
+        if unknown := {w for ws in words.values() for w in ws}.difference(self.merged):
+            self.merge(list(unknown))
+        for t, ws in words.items():
+            self.known[t] = b"".join(map(self.merged.__getitem__, ws))
+
     def encode(self, text: str) -> bytes:
         if "<|" in text or not self.PLAIN.fullmatch(text):
             return b"".join(x.to_bytes(4, "little") for x in self.whole.encode(text, add_special_tokens=False).ids)
-        found = self.words.findall(text.lower())
-        distinct = set(found)
-        new = distinct.difference(self.known)
-        if new:
+        parts = text.lower().split()
+        distinct = set(parts)
+        if new := distinct.difference(self.known):
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = distinct
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, found))
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
