@@ -520,6 +520,18 @@ def test_op10_decodes():
     assert "idiot" in channel.restored("you i d i o t of a town") and "people" in channel.restored("The people live")
 
 
+def test_op10_sign_runs_and_doubles():
+    from tidemill.llm.toxicity import Channel, trigram_counts
+
+    words = "stupid idiot loser clown trash pathetic scum asshole ass shit"
+    channel = Channel(trigram_counts(iter([f"{words} and the small town where all the people live with a looser rule " * 50])), frozenset(["looser"]))
+    disguised = {"10ser": "loser", "1053r": "loser", "idi07": "idiot", "id107": "idiot", "1d107": "idiot", "57upid": "stupid", "$$tupid": "stupid", "(10wn": "clown", "5(um": "scum", "a$$": "ass", "@$$hole": "asshole", "sh17": "shit", "patheti(": "pathetic", "stuupid": "stupid", '"patheti(,"': "pathetic"}
+    missed = {t: channel.restored(t) for t, w in disguised.items() if w not in channel.restored(f"so {t} here")}
+    assert not missed
+    assert "ass" in channel.restored("you a s s of a") and "loser" not in channel.restored("a looser rule")
+    assert channel.restored("--- ... ***") == set()
+
+
 def test_op10_held_out(spark, sf_dir):
     from tidemill.llm import toxicity
 

@@ -35,14 +35,19 @@ PREFIXES = (4, 5, 6, 7)
 TOP = 5
 
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-#: Four or more single characters in a row, each with a filler at most.
-_SPACED = re.compile(r"(?<!\S)\S[._\-*~^'`,]?(?:\s+\S[._\-*~^'`,]?){3,}(?!\S)")
-#: What looks disguised: signs or fillers between letters, a sign at an end of letters, a letter three times in a row.
-_ODD = re.compile(r"[a-z][0-9@$!|+(<€£¡._\-*~^'`]+[a-z]|^[0-9@$!|+(<€£¡][a-z]{2}|[a-z]{2}[0-9@$!|+€£]$")
-_TRIPLE = re.compile(r"([a-z])\1\1")
-_ENDS = ".,;:!?()\"'"
+#: Three or more single characters in a row, each with a filler at most.
+_SPACED = re.compile(r"(?<!\S)\S[._\-*~^'`,]?(?:\s+\S[._\-*~^'`,]?){2,}(?!\S)")
+#: What can stand for a letter; what has none isn't decoded.
+_LEGIBLE = re.compile("[^\\W\\d_]|[" + re.escape("".join(SIGNS)) + "]")
+_DOUBLE = re.compile(r"([a-z])\1")
+_AGAIN = re.compile(r"(.)\1")
+#: Marks at the ends of a token that stand for no letter.
+_ENDS = ".,;:?)\"'"
 #: Words whose weights, and disguised tokens whose restorations, a worker remembers.
 REMEMBERED = 300_000
+#: Words with a doubled letter in so many rows, and so large a share of the rows of all such words, are spelled so: they
+#: aren't decoded, and their own weights count. The share bounds how many there are.
+USUAL_ROWS, USUAL_SHARE = 25, 1 / 20_000
 #: Characters of a spaced word that features can see.
 LONGEST = 16
 
@@ -75,7 +80,8 @@ class Channel:
 
     REPEAT, SIGN, FILLER, TWICE = 1.0, 1.0, 0.5, 1.5
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, usual: frozenset[str] = frozenset()):
+        self.usual = usual
         c = counts.reshape(STATES, STATES, STATES).astype(float)
         pairs = c.sum(0)
         back = (pairs + 0.5) / (pairs + 0.5).sum(1, keepdims=True)
@@ -86,8 +92,9 @@ class Channel:
     def choices(ch: str) -> str:
         return ch if ch.isalpha() else SIGNS.get(ch, "")
 
-    def decode(self, token: str) -> str:
-        """The word that a token stands for; in lower case. Linear in the token's length."""
+    def decode(self, token: str, repeats: bool = True) -> str:
+        """The word that a token stands for; in lower case. Linear in the token's length. Without repeats, each letter
+        and sign that is written again counts again."""
         cost = self.cost
         beams: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(EDGE, EDGE): (0.0, None, "")}
         for i, ch in enumerate(token):
@@ -102,8 +109,8 @@ class Channel:
             for (a, b), node in beams.items():
                 for letter in options:
                     s = state(letter)
-                    put((b, s), node[0] + cost[a][b][s] + (0.0 if letter == ch else self.SIGN) + (self.TWICE if again and s == b else 0.0), node, letter)
-                if again and b < OTHER and state(options[0] if options else ch) == b:
+                    put((b, s), node[0] + cost[a][b][s] + (0.0 if letter == ch else self.SIGN) + (self.TWICE if repeats and again and s == b else 0.0), node, letter)
+                if repeats and again and b < OTHER and state(options[0] if options else ch) == b:
                     put((a, b), node[0] + self.REPEAT, node, "")
                 if not options or ch in FILLERS or (not ch.isalpha() and i in (0, len(token) - 1)):
                     put((a, b), node[0] + self.FILLER + (0.0 if ch in FILLERS or not options else 2.0), node, "")
@@ -121,37 +128,41 @@ class Channel:
         """The words of the text in lower case, and what its disguised tokens stand for."""
         low = text.lower()
         words: set[str] = set()
-        triple = _TRIPLE.search(low) is not None
         for token in set(low.split()):
             bare = token.strip(_ENDS)
             if bare.isalpha():
                 words.add(bare)
-                if triple and _TRIPLE.search(bare):
-                    words.update(_LETTER_RUN.findall(self._remember(bare)))
-                if token[-1:] not in "!" or not _ODD.search(token):
+                if not _DOUBLE.search(bare) or bare in self.usual:
                     continue
             else:
-                words.update(_LETTER_RUN.findall(token))
-                if not (_ODD.search(token) or _TRIPLE.search(token)):
+                words.update(_LETTER_RUN.findall(bare))
+                if not _LEGIBLE.search(bare):
                     continue
-            words.update(_LETTER_RUN.findall(self._remember(token)))
+            for word in self._remember(bare):
+                words.update(_LETTER_RUN.findall(word))
         for m in _SPACED.finditer(low):
-            run = self._remember("".join(t[0] for t in m[0].split()))
-            words.update(run[i : i + LONGEST] for i in range(len(run)))  # where one spaced word ends isn't known
+            for run in self._remember("".join(t[0] for t in m[0].split())):
+                words.update(run[i : i + LONGEST] for i in range(len(run)))  # where one spaced word ends isn't known
         return words
 
-    def _remember(self, token: str) -> str:
+    def readings(self, token: str) -> tuple[str, ...]:
+        """What a token stands for, with what is written again as one letter and as more."""
+        if not _AGAIN.search(token):
+            return (self.decode(token),)
+        return self.decode(token), token if token.isalpha() else self.decode(token, repeats=False)
+
+    def _remember(self, token: str) -> tuple[str, ...]:
         if len(token) > 64:
-            return self.decode(token)
+            return self.readings(token)
         known = self.__dict__.setdefault("_known", {})
         if token not in known:
             if len(known) > REMEMBERED:
                 known.clear()
-            known[token] = self.decode(token)
+            known[token] = self.readings(token)
         return known[token]
 
     def __getstate__(self) -> dict:
-        return {"cost": self.cost}
+        return {"cost": self.cost, "usual": self.usual}
 
 
 def features(words: set[str]) -> set[str]:
@@ -203,21 +214,38 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def doubled_words(text: str) -> set[str]:
+    """The words of a text, in lower case, that have a doubled letter."""
+    return {w for token in set(text.lower().split()) if _DOUBLE.search(token) and (w := token.strip(_ENDS)).isalpha()}
+
+
 def channel_of(docs: DataFrame) -> Channel:
-    """The channel with a character model of all rows of docs (_text). The driver gets STATES**3 sums."""
+    """The channel with a character model of all rows of docs (_text), and the usual words with doubled letters. The
+    driver gets STATES**3 sums and 1 / USUAL_SHARE words at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(STATES**3, np.int64)
+        n, doubled = np.zeros(STATES**3, np.int64), Counter()
         for b in batches:
             n += trigram_counts(iter(b["_text"]))
+            for t in b["_text"]:
+                doubled.update(doubled_words(t))
+            if len(doubled) > 500_000:
+                yield pd.DataFrame({"at": -1, "word": list(doubled.keys()), "n": list(doubled.values())})
+                doubled.clear()
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"at": at, "n": n[at]})
+        if len(at):
+            yield pd.DataFrame({"at": at, "word": [""] * len(at), "n": n[at]})
+        if doubled:
+            yield pd.DataFrame({"at": -1, "word": list(doubled.keys()), "n": list(doubled.values())})
 
-    sums = docs.select("_text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    # Read twice: the sums, and the words that have their share.
+    sums = C.written(docs.select("_text").mapInPandas(count, "at long, word string, n long").groupBy("at", "word").agg(F.sum("n").alias("n")), "toxic-channel")
     counts = np.zeros(STATES**3, np.int64)
-    for r in sums:
+    for r in sums.where("at >= 0").collect():
         counts[r["at"]] = r["n"]
-    return Channel(counts)
+    words = sums.where("at < 0")
+    least = max(USUAL_ROWS, math.ceil(USUAL_SHARE * (words.agg(F.sum("n")).first()[0] or 0)))
+    return Channel(counts, frozenset(r["word"] for r in words.where(F.col("n") >= least).select("word").collect()))
 
 
 def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | None = None) -> DataFrame:
