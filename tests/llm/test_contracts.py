@@ -278,6 +278,30 @@ def test_op4_notices(spark):
     assert len(got[4]) == 2 and all(len(r["spans"]) == 2 for r in got[4])
 
 
+def test_op4_deciding_words(spark):
+    from tidemill.llm import licenses
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cc = "Licensed under a Creative Commons Attribution{} 4.0 International License"
+    want = {
+        gpl.format(""): "gpl",
+        gpl.format("Lesser "): "lgpl",
+        gpl.format("Affero "): "agpl",
+        "Licensed under the GNU General Public License version 2": "gpl",
+        "Licensed under the GNU General Public License.": "gpl",
+        "Licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+        "Licensed under the GNU General Public License v3.": "gpl,gpl-3.0",
+        "so it is licensed under the GNU General Public License, either version 3 or later": "gpl,gpl-3.0",
+        cc.format(""): "cc-by",
+        cc.format(" ShareAlike"): "cc-by-sa",
+        cc.format("-NonCommercial"): "cc-by-nc",
+        cc.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+    }
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string"))
+    assert {r["row"]["text"]: r["labels"] for r in out.collect()} == want
+
+
 def test_op5(spark, tables, rows):
     import public_tokenizers
     from tokenizers import Tokenizer

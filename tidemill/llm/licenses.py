@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,24 @@ NOTICES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
+#: What tells the licenses of a family apart: a place of a notice has the same of these as the notice. A family is known
+#: by words of its notices; of the spellings of one mark, any counts.
+DECIDING = [
+    ({"gnu"}, [("lesser general", "library general"), ("affero",)]),
+    ({"cc", "creative"}, [("sa", "sharealike", "share alike"), ("nc", "noncommercial", "non commercial"), ("nd", "noderivatives", "noderivs", "no derivatives", "no derivs")]),
+]
+
 #: Diagonals of a notice this near to each other are one place of it: a few words put in or left out.
 NEAR_DIAGONALS = 3
 #: The share of a notice's k-grams that a place must have for the label. The share is also its part of the score.
@@ -62,13 +76,34 @@ def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], notices:
     return spark.createDataFrame(rows, "_size int, _gram string, _t int, _base boolean, _label string, _grams int, _of int, _at int")
 
 
+def deciding_rules(label: str, text: str) -> tuple[list[list[str]], list[str], list[str]]:
+    """Of a notice: marks of which a place must have one spelling each, those that it must not have, and the spellings
+    of the version in the label, of which the place or the few words behind it must have one."""
+    spaced, must, never = f" {text} ", [], []
+    for family, marks in DECIDING:
+        if family & set(text.split()):
+            for spellings in ([f" {x} " for x in m] for m in marks):
+                if any(x in spaced for x in spellings):
+                    must.append(spellings)
+                else:
+                    never += spellings
+    version = re.search(r"-(\d+)\.(\d+)$", label)
+    if not version:
+        return must, never, []
+    major, minor = version.groups()
+    spellings = [f" {major} {minor} ", f" v{major} {minor} "]
+    if minor == "0":
+        spellings += [f" version {major} ", f" v {major} ", f" v{major} ", f" license {major} "]
+    return must, never, spellings
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES, k: int = 3, least_share: float = LEAST_SHARE) -> DataFrame:
     """Base places and labels of each text.
 
     The hash of each run of k words (and of each shorter run that a short template needs) is joined with the templates'
     positions; a match is verified word by word and votes for its diagonal, the place where the template would start.
     A base phrase stands where a diagonal has all its votes. Of a notice, diagonals within NEAR_DIAGONALS are one
-    place, which counts from least_share of the notice's k-grams on. Returns for each row of docs: `row`, n_words,
+    place, which counts from least_share of the notice's k-grams on, where its words are the deciding ones. Returns for each row of docs: `row`, n_words,
     n_base, first_word, last_word, base_labels, labels, score (the largest share found, 1 for a base phrase, else 0)
     and spans, an array of (label, start, stop, share).
 
@@ -77,6 +112,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     templates = template_grams(spark, phrases, notices, k)
+    rules = [(t, *deciding_rules(label, text)) for t, (label, text) in enumerate(notices, len(phrases))]
+    rules = F.broadcast(spark.createDataFrame(rules, "_rule int, _must array<array<string>>, _never array<string>, _versions array<string>"))
     sizes = sorted({min(k, len(text.split())) for text in [p[0] for p in phrases] + [n[1] for n in notices]})
     grams = F.broadcast(templates.withColumn("_ws", F.split("_gram", " ")).withColumn("_h", F.xxhash64(F.transform("_ws", lambda w: F.xxhash64(w)))).drop("_gram"))
 
@@ -89,20 +126,27 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rolled = seen.select("_id", "_th", "_words", F.explode(rolled).alias("_g"))
     votes = rolled.join(grams, (F.col("_g.size") == F.col("_size")) & (F.col("_g.h") == F.col("_h")))
     votes = votes.where(F.slice("_words", F.col("_g.i") + 1, F.col("_size")) == F.col("_ws"))
-    votes = votes.select("_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size", "_at", (F.col("_g.i") - F.col("_at")).alias("_diagonal"))
+    votes = votes.select("_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size", "_at", (F.col("_g.i") - F.col("_at")).alias("_diagonal"), "_words")
+    # The words that a place starting on this diagonal can have; no more of the text goes on.
+    votes = votes.withColumn("_near", F.when(~F.col("_base"), F.slice("_words", F.greatest(F.col("_diagonal"), F.lit(0)) + 1, 2 * F.col("_of") + 3 * NEAR_DIAGONALS))).drop("_words")
 
     template = ["_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size"]
-    diagonals = votes.groupBy(*template, "_diagonal").agg(F.collect_set("_at").alias("_ats"))
+    diagonals = votes.groupBy(*template, "_diagonal").agg(F.collect_set("_at").alias("_ats"), F.any_value("_near").alias("_near"))
     diagonals = C.written(diagonals, "license-diagonals")
     base = diagonals.where(F.col("_base") & (F.size("_ats") == F.col("_grams"))).select("_id", "_th", "_base", "_label", F.col("_diagonal").alias("_start"), (F.col("_diagonal") + F.col("_of")).alias("_stop"), F.lit(1.0).alias("_share"))
 
     along = Window.partitionBy("_id", "_th", "_t").orderBy("_diagonal")
     far = F.coalesce(F.col("_diagonal") - F.lag("_diagonal").over(along) > NEAR_DIAGONALS, F.lit(True))
     places = diagonals.where(~F.col("_base")).withColumn("_far", far.cast("int")).withColumn("_place", F.sum("_far").over(along))
-    merged = places.groupBy(*template, "_place").agg(F.array_distinct(F.flatten(F.collect_list("_ats"))).alias("_ats"), F.min(F.col("_diagonal") + F.array_min("_ats")).alias("_start"), F.max(F.col("_diagonal") + F.array_max("_ats") + F.col("_size")).alias("_stop"))
+    merged = places.groupBy(*template, "_place").agg(F.array_distinct(F.flatten(F.collect_list("_ats"))).alias("_ats"), F.min(F.col("_diagonal") + F.array_min("_ats")).alias("_start"), F.max(F.col("_diagonal") + F.array_max("_ats") + F.col("_size")).alias("_stop"), F.min_by("_near", "_diagonal").alias("_near"), F.greatest(F.min("_diagonal"), F.lit(0)).alias("_from"), F.max(F.col("_diagonal") + F.col("_of")).alias("_end"))
     share = F.size("_ats") / F.col("_grams")
     # A place is no longer than the notice with its gaps: votes strewn over a text are no notice.
-    loose = merged.where((share >= least_share) & (F.col("_stop") - F.col("_start") <= F.col("_of") + 2 * NEAR_DIAGONALS)).select("_id", "_th", "_base", "_label", "_start", "_stop", share.alias("_share"))
+    loose = merged.where((share >= least_share) & (F.col("_stop") - F.col("_start") <= F.col("_of") + 2 * NEAR_DIAGONALS))
+    spaced = lambda at, n: F.concat(F.lit(" "), F.array_join(F.slice("_near", at + 1, n), " "), F.lit(" "))
+    loose = loose.withColumn("_place", spaced(F.col("_start") - F.col("_from"), F.col("_stop") - F.col("_start"))).withColumn("_wide", spaced(F.lit(0), F.col("_end") + NEAR_DIAGONALS - F.col("_from")))
+    has = lambda text: lambda x: F.contains(F.col(text), x)
+    decided = F.forall("_must", lambda m: F.exists(m, has("_place"))) & ~F.exists("_never", has("_place")) & ((F.size("_versions") == 0) | F.exists("_versions", has("_wide")))
+    loose = loose.join(rules, F.col("_t") == F.col("_rule")).where(decided).select("_id", "_th", "_base", "_label", "_start", "_stop", share.alias("_share"))
 
     span = F.struct(F.col("_label").alias("label"), F.col("_start").alias("start"), F.col("_stop").alias("stop"), F.col("_share").alias("share"))
     found = base.unionByName(loose).groupBy(F.col("_id").alias("_id2"), F.col("_th").alias("_th2")).agg(
