@@ -556,6 +556,20 @@ def test_op10_sign_runs_and_doubles():
     assert channel.restored("--- ... ***") == set()
 
 
+def test_op10_rare_words(spark):
+    from tidemill.llm import toxicity
+
+    train, held = ([i for i in range(45_000) if (zlib.crc32(str(i).encode()) % 4 == 2) == h] for h in (False, True))
+    train = train[:32_000]
+    rows = [(i, f"so much vilest here {i % 7}" if i % 2 else "so much kinder here") for i in train]
+    rare = [i for i in train if i % 2][:12]  # a thousandth of the toxic rows is more
+    rows = [(i, "so much quorvex here") if i in rare else (i, t) for i, t in rows]
+    rows += [(held[0], "so quorvex here"), (held[1], "so kinder here")]
+    labels = spark.createDataFrame([(i, i % 2) for i in train], "doc_id long, toxic int")
+    out = by_id(toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where(F.col("doc_id").isin(held[:2])).collect())
+    assert out[held[0]]["score"] > 0.9 and out[held[1]]["predicted"] == 0
+
+
 def test_op10_held_out(spark, sf_dir):
     from tidemill.llm import toxicity
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +29,13 @@ STATES = 28
 
 #: Labelled rows, about, that the two weights of the last step are fitted on.
 SAMPLE_ROWS = 20_000
-#: Features in fewer toxic training rows than this, or than this share of them, have no weight. The share bounds how
-#: many features there can be, whatever the input.
-LEAST_ROWS, LEAST_SHARE = 4, 0.001
+#: Features in fewer toxic training rows than this have no weight, whatever the input.
+LEAST_ROWS = 4
+#: Features in at least this share of the toxic training rows are broadcast with their weights: the share bounds how
+#: many there are. The weights of all others are joined.
+HEAVY_SHARE = 0.001
+#: Bits of the filter of the features whose weights are joined.
+FILTER_BITS = 1 << 22
 PREFIXES = (4, 5, 6, 7)
 TOP = 5
 
@@ -170,30 +175,72 @@ def features(words: set[str]) -> set[str]:
     return {w + "$" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
+class Filter:
+    """Features that may be in a table: all that are, and few others. Its size is fixed."""
+
+    def __init__(self, table: DataFrame):
+        bit = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(FILTER_BITS))
+        found = table.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).collect()
+        words = np.zeros(FILTER_BITS // 32, "<u4")
+        for r in found:
+            words[r["at"]] = r["bits"]
+        self.bits = words.tobytes()
+
+    def __contains__(self, feature: str) -> bool:
+        h = zlib.crc32(feature.encode("utf-8")) % FILTER_BITS
+        return self.bits[h >> 3] >> (h & 7) & 1 == 1
+
+
 class Scorer:
-    """weight of each feature, and the logistic over the strongest of a text."""
+    """Weights of features: those of heavy ones in a dictionary, all others in a table (feature, weight)."""
 
-    def __init__(self, weights: dict[str, float], coefficients: tuple[float, float, float]):
-        self.weights, self.coefficients, self.words = weights, coefficients, {}
+    def __init__(self, heavy: dict[str, float], light: Filter):
+        self.heavy, self.light, self.words = heavy, light, {}
 
-    def weight(self, w: str) -> float:
-        """Of the word's strongest feature."""
+    def weight(self, w: str) -> tuple[float, tuple[str, ...]]:
+        """Of the word's strongest heavy feature, and its features that the table may have."""
         if w not in self.words:
             if len(self.words) > REMEMBERED:
                 self.words.clear()
-            get = self.weights.get
-            self.words[w] = max([get(w + "$", 0.0), *(get(w[:n], 0.0) for n in PREFIXES if len(w) >= n)])
+            fs = features({w})
+            self.words[w] = max([0.0, *(self.heavy.get(f, 0.0) for f in fs)]), tuple(sorted(f for f in fs if f not in self.heavy and f in self.light))
         return self.words[w]
 
-    def evidence(self, words: set[str]) -> tuple[float, float]:
-        """The largest weight, and the sum of the largest few, each word counting once."""
-        found = sorted((v for v in map(self.weight, words) if v > 0), reverse=True)
-        return (found[0], sum(found[:TOP])) if found else (0.0, 0.0)
+    def evidence(self, words: set[str]) -> tuple[list[float], list[int], list[float], list[str]]:
+        """The largest weights of words that the table can't change; and of all others a number, the weight so far and
+        the feature to look up."""
+        sure, numbers, so_far, lookups = [], [], [], []
+        for i, w in enumerate(words):
+            v, fs = self.weight(w)
+            if fs:
+                numbers += [i] * len(fs)
+                so_far += [v] * len(fs)
+                lookups += fs
+            elif v > 0:
+                sure.append(v)
+        return sorted(sure, reverse=True)[:TOP], numbers, so_far, lookups
+
+    def __getstate__(self) -> dict:
+        return {"heavy": self.heavy, "light": self.light, "words": {}}
+
+
+def evidence_of(rows: DataFrame, keep: str, kind: str, channel: Channel, scorer: Scorer, table: DataFrame) -> DataFrame:
+    """(keep, top, some) for each of rows (keep, _text): the largest weight, and the sum of the largest few, each word
+    counting once with its strongest feature."""
 
-    def score(self, words: set[str]) -> float:
-        top, some = self.evidence(words)
-        a, b, c = self.coefficients
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, a * top + b * some + c))))
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [scorer.evidence(channel.restored(t)) for t in b["_text"]]
+            yield pd.DataFrame({keep: b[keep].astype("Int64"), **{c: [e[i] for e in found] for i, c in enumerate(("sure", "numbers", "so_far", "lookups"))}})
+
+    found = rows.select(keep, "_text").mapInPandas(seen, f"{keep} {kind}, sure array<double>, numbers array<int>, so_far array<double>, lookups array<string>")
+    found = C.written(found.withColumn("_row", F.monotonically_increasing_id()), "toxic-evidence")
+    open_ = found.select("_row", F.explode(F.arrays_zip("numbers", "so_far", "lookups")).alias("o")).select("_row", "o.numbers", "o.so_far", F.col("o.lookups").alias("feature"))
+    open_ = open_.hint("merge").join(table, "feature", "left").groupBy("_row", "numbers").agg(F.greatest(F.max("so_far"), F.max(F.coalesce("weight", F.lit(0.0)))).alias("v"))
+    more = open_.where("v > 0").groupBy("_row").agg(F.collect_list("v").alias("more"))
+    best = F.slice(F.sort_array(F.concat("sure", F.coalesce("more", F.expr("cast(array() as array<double>)"))), asc=False), 1, TOP)
+    out = found.select(keep, "_row", "sure").hint("merge").join(more, "_row", "left").select(keep, best.alias("best"))
+    return out.select(keep, F.coalesce(F.get("best", F.lit(0)), F.lit(0.0)).alias("top"), F.aggregate("best", F.lit(0.0), lambda x, y: x + y).alias("some"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
@@ -207,7 +254,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(w) if len(x) else (1.0, 0.0, -5.0)
+    return tuple(w.tolist()) if len(x) else (1.0, 0.0, -5.0)
 
 
 def fold(id_col: str, folds: int):
@@ -248,15 +295,24 @@ def channel_of(docs: DataFrame) -> Channel:
     return Channel(counts, frozenset(r["word"] for r in words.where(F.col("n") >= least).select("word").collect()))
 
 
-def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | None = None) -> DataFrame:
-    """(feature, n): in how many rows each feature stands; partial counts before the shuffle."""
+def feature_counts(rows: DataFrame, channel: Channel, only: Filter | None = None) -> DataFrame:
+    """(feature, n): in how many rows each feature stands, of those that may be in only; partial counts before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
+        known: dict[str, list[str]] = {}
         for b in batches:
             for t in b["_text"]:
-                f = features(channel.restored(t))
-                n.update(f if only is None else f & only)
+                words = channel.restored(t)
+                if only is None:
+                    n.update(features(words))
+                    continue
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = [f for f in features({w}) if f in only]
+                n.update({f for w in words for f in known[w]})
             if len(n) > 1_000_000:
                 yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
                 n.clear()
@@ -266,31 +322,24 @@ def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | Non
     return rows.select("_text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: int) -> Scorer:
+def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: int) -> tuple[Scorer, DataFrame, tuple[float, float, float]]:
     """docs: _id, _text, of the training rows only; labels: _id, toxic. Three quarters of the labelled rows count the
-    features, all of them; the rest, a bounded sample, fits the logistic."""
+    features, all of them; the rest, a bounded sample, fits the logistic. Returns the scorer, the table of the weights
+    that it doesn't hold, and the coefficients."""
     # The labels are never broadcast: how many there are grows with the input, and all sizes take one plan.
     rows = C.written(docs.hint("merge").join(labels, "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(4))), "toxic-rows")
     bad, good = rows.where("toxic = 1 AND _part > 0"), rows.where("toxic = 0 AND _part > 0")
     n_bad, n_good = bad.count(), good.count()
-    counts = feature_counts(bad, channel).where(F.col("n") >= max(LEAST_ROWS, math.ceil(LEAST_SHARE * n_bad)))
-    in_bad = {r["feature"]: r["n"] for r in counts.collect()}
-    in_good = {r["feature"]: r["n"] for r in feature_counts(good, channel, frozenset(in_bad)).collect()}
-    weights = {}
-    for f, n in in_bad.items():
-        w = math.log((n + 0.1) / (n_bad + 0.2)) - math.log((in_good.get(f, 0) + 0.5) / (n_good + 1))
-        if w > 1:
-            weights[f] = w
+    in_bad = C.written(feature_counts(bad, channel).where(F.col("n") >= LEAST_ROWS), "toxic-features")
+    in_good = feature_counts(good, channel, Filter(in_bad)).withColumnRenamed("n", "n2")
+    weight = F.log((F.col("n") + 0.1) / (n_bad + 0.2)) - F.log((F.coalesce("n2", F.lit(0)) + 0.5) / (n_good + 1))
+    weights = C.written(in_bad.hint("merge").join(in_good, "feature", "left").select("feature", "n", weight.alias("weight")).where("weight > 1"), "toxic-weights")
+    heavy = F.col("n") >= max(LEAST_ROWS, math.ceil(HEAVY_SHARE * n_bad))
+    table = weights.where(~heavy).select("feature", "weight")
+    scorer = Scorer({r["feature"]: r["weight"] for r in weights.where(heavy).collect()}, Filter(table))
     part = C.hashed_sample(rows.where("_part = 0"), "_id", sample_rows)
-    blank = Scorer(weights, (1.0, 0.0, 0.0))
-
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            e = np.array([blank.evidence(channel.restored(t)) for t in b["_text"]]).reshape(-1, 2)
-            yield pd.DataFrame({"top": e[:, 0], "some": e[:, 1], "toxic": b["toxic"].to_numpy()})
-
-    seen = part.select("_text", "toxic").mapInPandas(evidence, "top double, some double, toxic int").toPandas().sort_values(["top", "some", "toxic"])
-    return Scorer(weights, fit_logistic(seen[["top", "some"]].to_numpy(float), seen["toxic"].to_numpy(float)))
+    seen = evidence_of(part, "toxic", "int", channel, scorer, table).toPandas().sort_values(["top", "some", "toxic"])
+    return scorer, table, fit_logistic(seen[["top", "some"]].to_numpy(float), seen["toxic"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_fold: int = 2, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
@@ -308,13 +357,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(fold("_id", folds) != held_fold).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     channel = channel_of(src)
-    scorer = trained(src.where(F.col("_id").isNotNull() & (fold("_id", folds) != held_fold)), known, channel, sample_rows)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["_id"].astype("Int64"), "score": [scorer.score(channel.restored(t)) for t in b["_text"]]})
+    scorer, table, (a, b, c) = trained(src.where(F.col("_id").isNotNull() & (fold("_id", folds) != held_fold)), known, channel, sample_rows)
 
-    out = src.mapInPandas(scored, "doc_id long, score double")
+    out = evidence_of(src.withColumnRenamed("_id", "doc_id"), "doc_id", "long", channel, scorer, table)
+    x = a * F.col("top") + b * F.col("some") + c
+    out = out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x)))))
     return out.select("doc_id", (fold("doc_id", folds) == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
