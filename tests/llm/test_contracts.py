@@ -345,6 +345,37 @@ def test_op5_first_fit():
         assert first_fit_decreasing(items, 100) == want
 
 
+def test_op5_ids_of_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemill.llm import packing
+
+    texts = ["", " ", " a  b ", "don't 'start' x's,'re we'll 12ab", "'s", "<|endoftext|> x", "İI\x85y\xa0z", "ÀÉ ß ŁŸ ı", "a\x0bb\x0cc\r\n", "ｆｕｌｌ 𝔘", "e\u0301 x", "\x1c a", "don't " * 3000]
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False)]
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    for most in (1, 100, 1 << 20):  # alone, a few, all at once
+        got = [ids.tolist() for a, b in packing.slices(pa.array(texts), most) for ids in tok.encode(pa.array(texts).slice(a, b - a))]
+        assert got == want
+    old, packing.CACHE_WORDS = packing.CACHE_WORDS, 2
+    try:
+        assert [tok.encode(pa.array([t]))[0].tolist() for t in texts] == want
+    finally:
+        packing.CACHE_WORDS = old
+
+
+def test_op5_little_padding(spark, sf_dir):
+    """All sequences but the last few of a group are nearly full: at most 1% of what they hold is padding."""
+    from tidemill.llm import packing
+
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    fill = packing.pack(spark.read.parquet(f"{d}/documents.parquet")).groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    r = fill.agg(F.sum("n").alias("tokens"), F.count("*").alias("sequences"), F.max("n").alias("most")).first()
+    least = -(-r["tokens"] // 4096)
+    assert r["most"] <= 4096 and r["sequences"] <= 1.01 * least + 1
+
+
 def test_op6(spark, tables, rows):
     out = by_id(run(spark, "op6_line_dedup", tables))
     key = lambda line: lowered(line.strip(" \t\n\x0b\x0c\r"))

@@ -8,7 +8,10 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,10 @@ LENGTH = 4096
 END_ID = 2
 #: Documents to a group on average. A group is packed in one task; this bounds its memory whatever the input.
 GROUP_DOCS = 8192
-#: Entries of each of the two tables of ids that a worker remembers, some 150 MB in all.
-CACHE_WORDS = 350_000
+#: Words whose ids a worker remembers, some 150 MB.
+CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at once; a longer text goes alone.
+SLICE_BYTES = 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -29,16 +34,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
-    """Ids as little-endian 32-bit bytes, the same that `tokenizers` gives for the file.
+    """Arrays of ids, the same that `tokenizers` gives for the file.
 
     The file's rules split a text at white space and further into words, and merge within each: a word has the same ids
-    everywhere and is merged once, and so has what stands between white space. That short way takes texts of letters
-    whose lower case and normal form are one character; all others, and those that hold a special token's string, go
-    through `tokenizers` as a whole.
+    everywhere and is merged once. Texts of a slice are split and their parts made distinct by Arrow; distinct parts
+    are split into words, words looked up, and the ids of all texts gathered from theirs. That short way takes texts of
+    letters whose lower case and normal form are one character; all others, and those that hold a special token's
+    string, go through `tokenizers` as a whole.
     """
 
-    PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA1-įı-ž]*")
+    #: What keeps a text from the short way.
+    OTHER = r"<\||[^\t-\r\x20-\x7E\x{A1}-\x{12F}\x{131}-\x{17E}]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,41 +63,65 @@ class WordTokenizer:
         self.words = regex.compile(pre[0]["pattern"]["Regex"])
         bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, pre[1]]}}
         self.bare = Tokenizer.from_str(json.dumps(bare))
-        suffix = spec["model"]["end_of_word_suffix"]
-        self.last = {i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)}
-        self.known: dict[str, bytes] = {}  # by what stands between white space
-        self.merged: dict[str, bytes] = {}  # by word
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)  # of known words, one after another
 
     def merge(self, new: list[str]) -> None:
         """Learns the ids of words: they are encoded as one text, and a word's last id ends it."""
-        ids, one = self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, []
-        at = iter(new)
-        for i in ids:
-            one.append(i)
-            if i in self.last:
-                self.merged[next(at)] = b"".join(x.to_bytes(4, "little") for x in one)
-                one = []
-
-    def learn(self, new: set[str]) -> None:
-        words = {t: self.words.findall(t) for t in new}
-        if len(self.merged) > CACHE_WORDS:
-            self.merged.clear()
-        if unknown := {w for ws in words.values() for w in ws}.difference(self.merged):
-            self.merge(list(unknown))
-        for t, ws in words.items():
-            self.known[t] = b"".join(map(self.merged.__getitem__, ws))
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return b"".join(x.to_bytes(4, "little") for x in self.whole.encode(text, add_special_tokens=False).ids)
-        parts = text.lower().split()
-        distinct = set(parts)
-        if new := distinct.difference(self.known):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = distinct
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, parts))
+        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the tokenizer doesn't mark where words end")
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts, one after another, and where each ends."""
+        words: list[str] = []
+        upto = []
+        for p in parts:
+            if p.isalpha():
+                words.append(p)
+            else:
+                words += self.words.findall(p)
+            upto.append(len(words))
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        if new := set(words).difference(self.known):
+            self.merge(list(new))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        lengths = self.ends[at + 1] - self.ends[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.array(upto, np.int64)]
+        return self.ids[ragged(self.ends[at], lengths)], ends
+
+    def plain(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        flat = split.flatten().dictionary_encode()
+        ids, ends = self.parts(flat.dictionary.to_pylist())
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        at = flat.indices.to_numpy()
+        lengths = (ends - starts)[at]
+        ids = ids[ragged(starts[at], lengths)]
+        first = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; texts hold no null."""
+        other = pc.match_substring_regex(texts, self.OTHER).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(~other).tolist(), self.plain(texts.filter(pa.array(~other))), strict=True):
+            out[i] = ids
+        for i in np.flatnonzero(other).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -92,25 +129,38 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of `most` bytes at most, or of one row."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
+        yield at, max(stop, at + 1)
+        at = max(stop, at + 1)
+
+
 def pieces(docs: DataFrame, path: str, length: int, end_id: int, keep_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document of docs (doc_id, _text) cut into full
     sequences and a rest."""
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * keep_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, end = tokenizer(path), end_id.to_bytes(4, "little")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_cpu_count(1)
+        tok, end = tokenizer(path), np.array([end_id], "<u4")
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["_text"], strict=True):
-                ids = tok.encode(text) + end
-                n = len(ids) // 4
-                for a in range(0, n, length):
-                    part = ids[4 * a : 4 * (a + length)]
-                    out.append((doc_id, a, len(part) // 4, zlib.crc32(part), n, part))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame if keep_ids else frame.drop(columns="ids")
-
-    return docs.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
+            for first, stop in slices(texts, SLICE_BYTES):
+                out: list[tuple] = []
+                for doc_id, found in zip(doc_ids[first:stop], tok.encode(texts.slice(first, stop - first)), strict=True):
+                    ids = np.concatenate([found, end]).astype("<u4").tobytes()
+                    n = len(ids) // 4
+                    for a in range(0, n, length):
+                        part = ids[4 * a : 4 * (a + length)]
+                        out.append((doc_id, a, len(part) // 4, zlib.crc32(part), n, part))
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=False)], names=[n for n, _ in fields])
+
+    return docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
