@@ -350,13 +350,13 @@ def test_op5_ids_of_odd_texts():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    from tidemill.llm import packing
+    from tidemill.llm import common, packing
 
     texts = ["", " ", " a  b ", "don't 'start' x's,'re we'll 12ab", "'s", "<|endoftext|> x", "İI\x85y\xa0z", "ÀÉ ß ŁŸ ı", "a\x0bb\x0cc\r\n", "ｆｕｌｌ 𝔘", "e\u0301 x", "\x1c a", "don't " * 3000]
     want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False)]
     tok = packing.WordTokenizer(packing.default_tokenizer())
     for most in (1, 100, 1 << 20):  # alone, a few, all at once
-        got = [ids.tolist() for a, b in packing.slices(pa.array(texts), most) for ids in tok.encode(pa.array(texts).slice(a, b - a))]
+        got = [ids.tolist() for a, b in common.slices(pa.array(texts), most) for ids in tok.encode(pa.array(texts).slice(a, b - a))]
         assert got == want
     old, packing.CACHE_WORDS = packing.CACHE_WORDS, 2
     try:
@@ -565,26 +565,128 @@ def test_op10(spark, tables, rows):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
 
 
-def test_op10_decodes():
+def channel_of(text, usual=()):
+    """A channel whose character model is of the text."""
+    import numpy as np
+
     from tidemill.llm.toxicity import Channel, trigram_counts
 
-    text = "the stupid idiot is a loser and the clown eats trash with a pathetic moron in this little town where people live " * 50
-    channel = Channel(trigram_counts(iter([text])))
+    tokens = text.split()
+    return Channel(trigram_counts(tokens, np.ones(len(tokens), np.int64)), frozenset(usual))
+
+
+def restored(channel, *texts, join=None):
+    """The words that the channel reads in each text; of a spaced word, what may begin in it ends in *."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.llm.toxicity import read
+
+    f, row, word = channel.words(read(pa.array(texts)), lambda f: np.ones(len(f.words), bool), join)
+    out = [set() for _ in texts]
+    for r, w in zip(row.tolist(), word.tolist()):
+        assert f.words[w] not in out[r]
+        out[r].add(f.words[w])
+    return out
+
+
+def test_op10_trigrams():
+    import numpy as np
+
+    from tidemill.llm.toxicity import EDGE, OTHER, STATES, trigram_counts
+
+    tokens, times, want = ["ab", "é1", "x"], [3, 2, 1], Counter()
+    code = lambda c: ord(c) - 97 if "a" <= c <= "z" else OTHER if ord(c) > 127 else EDGE
+    for t, n in zip(tokens, times):
+        s = [EDGE, EDGE, *map(code, t), EDGE, EDGE]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            want[(a * STATES + b) * STATES + c] += n
+    got = trigram_counts(tokens, np.array(times))
+    assert {i: n for i, n in enumerate(got.tolist()) if n} == want
+    assert not trigram_counts([], np.array([], np.int64)).any()
+
+
+def test_op10_viterbi_is_best():
+    """The decoder's path against all readings of a token, each letter, repetition and filler as the lattice has them."""
+    from tidemill.llm.toxicity import EDGE, FILLERS, OTHER, Channel, state
+
+    channel = channel_of("stupid idiot loser clown trash scum lass less sail toil " * 20)
+
+    def best(token):
+        found = []
+
+        def go(i, a, b, cost, word):
+            if i == len(token):
+                found.append((cost + channel.cost[a][b][EDGE], word))
+                return
+            ch, options = token[i], Channel.choices(token[i])
+            again = i > 0 and ch == token[i - 1]
+            for x in options:
+                s = state(x)
+                go(i + 1, b, s, cost + channel.cost[a][b][s] + (x != ch) * channel.SIGN + (again and s == b) * channel.TWICE, word + x)
+            if again and b < OTHER and state(options[0] if options else ch) == b:
+                go(i + 1, a, b, cost + channel.REPEAT, word)
+            if not options or ch in FILLERS or (not ch.isalpha() and i in (0, len(token) - 1)):
+                go(i + 1, a, b, cost + channel.FILLER + (0 if ch in FILLERS or not options else 2), word)
+
+        go(0, EDGE, EDGE, 0.0, "")
+        least = min(found)[0]
+        return {word for cost, word in found if cost < least + 1e-9}
+
+    rng = random.Random(7)
+    for token in ["1d1ot", "s.t.u.p.i.d", "l0s3r!", "tr4$h", "sc-um", "!!", "$$less"] + ["".join(rng.choices("stuildo10$.-", k=rng.randint(1, 8))) for _ in range(60)]:
+        assert channel.decode(token) in best(token), token
+
+
+def test_op10_decodes():
+    channel = channel_of("the stupid idiot is a loser and the clown eats trash with a pathetic moron in this little town where people live " * 50, ["people", "little"])
     for disguised, word in {"1d1ot": "idiot", "l0s3r": "loser", "s.t.u.p.i.d": "stupid", "cl0wn": "clown", "tr4$h": "trash", "stuuuupid": "stupid", "m0r0n!": "moron"}.items():
         assert channel.decode(disguised) == word, disguised
-    assert "idiot" in channel.restored("you i d i o t of a town") and "people" in channel.restored("The people live")
+    spaced, plain, long = restored(channel, "you i d i o t of a town", "The people live, live", "u r a n i d i o t")
+    assert "idiot" in spaced and plain == {"the", "people", "live"} and "idiot*" in {w[:5] + w[-1] for w in long}
+    assert channel.segmented("theidiot") == ["the", "idiot"]
 
 
 def test_op10_sign_runs_and_doubles():
-    from tidemill.llm.toxicity import Channel, trigram_counts
-
     words = "stupid idiot loser clown trash pathetic scum asshole ass shit"
-    channel = Channel(trigram_counts(iter([f"{words} and the small town where all the people live with a looser rule " * 50])), frozenset(["looser"]))
-    disguised = {"10ser": "loser", "1053r": "loser", "idi07": "idiot", "id107": "idiot", "1d107": "idiot", "57upid": "stupid", "$$tupid": "stupid", "(10wn": "clown", "5(um": "scum", "a$$": "ass", "@$$hole": "asshole", "sh17": "shit", "patheti(": "pathetic", "stuupid": "stupid", '"patheti(,"': "pathetic"}
-    missed = {t: channel.restored(t) for t, w in disguised.items() if w not in channel.restored(f"so {t} here")}
+    channel = channel_of(f"{words} and the small town where all the people live with a looser rule " * 50, ["looser"])
+    disguised = {"10ser": "loser", "1053r": "loser", "idi07": "idiot", "id107": "idiot", "1d107": "idiot", "57upid": "stupid", "$$tupid": "stupid", "(10wn": "clown", "5(um": "scum", "a$$": "ass", "@$$hole": "asshole", "sh17": "shit", "patheti(": "pathetic", "stuupid": "stupid", '"patheti(,"': "pathetic", "iidiot": "idiot", "stupiid": "stupid", "@55": "ass", "a55": "ass", "st&u#pid": "stupid"}
+    missed = {t: found for t, found in zip(disguised, restored(channel, *(f"so {t} here" for t in disguised))) if disguised[t] not in found}
     assert not missed
-    assert "ass" in channel.restored("you a s s of a") and "loser" not in channel.restored("a looser rule")
-    assert channel.restored("--- ... ***") == set()
+    a, b, c, d = restored(channel, "you a s s of a", "a looser rule", "--- ... ***", "")
+    assert "ass" in a and "loser" not in b and c == d == set()
+
+
+def test_op10_split_words():
+    import numpy as np
+
+    from tidemill.llm.toxicity import polynomials, whole
+
+    channel = channel_of("stupid idiot loser clown trash the sat up in town and ran here " * 50)
+    heavy = whole(polynomials(["stupid", "idiot", "uphere"])[0])
+    a, b, c = restored(channel, "so st upid here", "sat up here", "st\nupid idi, ot", join=lambda h: np.isin(h, heavy))
+    assert "stupid" in a and "uphere" not in b and {"stupid", "idiot"} <= c
+
+
+def test_op10_features():
+    """Hashes of whole words and beginnings: equal for equal features, whatever stands beside them."""
+    from tidemill.llm.toxicity import PREFIXES, features
+
+    def of(words):
+        f = features(words)
+        out = defaultdict(set)
+        for w, h in zip(f.word.tolist(), f.hash.tolist()):
+            out[words[w]].add(h)
+        return out
+
+    words = ["a", "idiot", "idiots", "idiot*", "ꝏ𝔘é", "x" * 5000, "worthless"]
+    got, ids = of(words), {}
+    for w in words:
+        want = {("beginning", w[:n]) for n in PREFIXES if len(w.removesuffix("*")) >= n} | (set() if w[-1] == "*" else {("whole", w)})
+        assert len(got[w]) == len(want) and of([w])[w] == got[w]
+        for x in want:
+            ids.setdefault(x, []).append(got[w])
+    assert all(set.intersection(*v) for v in ids.values()) and len(set().union(*got.values())) == len(ids)
 
 
 def test_op10_rare_words(spark):

@@ -34,12 +34,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions of runs that begin at starts, one after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class WordTokenizer:
     """Arrays of ids, the same that `tokenizers` gives for the file.
 
@@ -99,7 +93,7 @@ class WordTokenizer:
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         lengths = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.array(upto, np.int64)]
-        return self.ids[ragged(self.ends[at], lengths)], ends
+        return self.ids[C.ragged(self.ends[at], lengths)], ends
 
     def plain(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -108,7 +102,7 @@ class WordTokenizer:
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         at = flat.indices.to_numpy()
         lengths = (ends - starts)[at]
-        ids = ids[ragged(starts[at], lengths)]
+        ids = ids[C.ragged(starts[at], lengths)]
         first = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         bounds = np.concatenate([[0], np.cumsum(lengths)])[first].tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -129,16 +123,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of `most` bytes at most, or of one row."""
-    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
-        yield at, max(stop, at + 1)
-        at = max(stop, at + 1)
-
-
 def pieces(docs: DataFrame, path: str, length: int, end_id: int, keep_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document of docs (doc_id, _text) cut into full
     sequences and a rest."""
@@ -149,7 +133,7 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int, keep_ids: bool)
         tok, end = tokenizer(path), np.array([end_id], "<u4")
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("_text")
-            for first, stop in slices(texts, SLICE_BYTES):
+            for first, stop in C.slices(texts, SLICE_BYTES):
                 out: list[tuple] = []
                 for doc_id, found in zip(doc_ids[first:stop], tok.encode(texts.slice(first, stop - first)), strict=True):
                     ids = np.concatenate([found, end]).astype("<u4").tobytes()

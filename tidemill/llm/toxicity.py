@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +40,27 @@ PREFIXES = (4, 5, 6, 7)
 TOP = 5
 
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
-#: Three or more single characters in a row, each with a filler at most.
-_SPACED = re.compile(r"(?<!\S)\S[._\-*~^'`,]?(?:\s+\S[._\-*~^'`,]?){2,}(?!\S)")
+#: One character, with a filler at most: three or more in a row may be a spaced word.
+_SHORT = r"(?s)^.[._\-*~^'`,]?$"
 #: What can stand for a letter; what has none isn't decoded.
 _LEGIBLE = re.compile("[^\\W\\d_]|[" + re.escape("".join(SIGNS)) + "]")
-_DOUBLE = re.compile(r"([a-z])\1")
+#: What stands for nothing.
+_MUTE = re.compile("[\\W\\d_]")
+_DOUBLE = "|".join(c + c for c in LETTERS)
 _AGAIN = re.compile(r"(.)\1")
 #: Marks at the ends of a token that stand for no letter.
 _ENDS = ".,;:?)\"'"
-#: Words whose weights, and disguised tokens whose restorations, a worker remembers.
+#: Disguised tokens whose restorations a worker remembers.
 REMEMBERED = 300_000
 #: Words with a doubled letter in so many rows, and so large a share of the rows of all such words, are spelled so: they
 #: aren't decoded, and their own weights count. The share bounds how many there are.
 USUAL_ROWS, USUAL_SHARE = 25, 1 / 20_000
-#: Characters of a spaced word that features can see.
-LONGEST = 16
+#: Bytes of text that are read at once; a longer text goes alone.
+SLICE_BYTES = 16 << 20
+#: Ends a string that only its beginnings are known of.
+OPEN = "*"
+
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def state(ch: str) -> int:
@@ -62,18 +68,53 @@ def state(ch: str) -> int:
     return i if 0 <= i < 26 else OTHER
 
 
-def trigram_counts(texts: Iterator[str]) -> np.ndarray:
-    """Counts of three states in a row over the words of texts that are all letters."""
-    n = np.zeros(STATES**3, np.int64)
+@dataclass(frozen=True)
+class Read:
+    """Texts as tokens in lower case: the distinct ones with and without the marks at their ends, and for each place
+    the row, the token and the bare token."""
+
+    tokens: pa.Array
+    bare: pa.Array
+    row: np.ndarray
+    token: np.ndarray
+    word: np.ndarray
+
+
+def read(texts: pa.Array) -> Read:
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    flat = split.flatten().dictionary_encode()
+    bare = pc.utf8_trim(flat.dictionary, _ENDS).dictionary_encode()
+    token = flat.indices.to_numpy()
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    return Read(flat.dictionary, bare.dictionary, row, token, bare.indices.to_numpy()[token])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[tuple[pa.RecordBatch, Read]]:
+    """The rows of the batches in slices of bounded size, and their texts read."""
+    pa.set_cpu_count(1)
+    for batch in batches:
+        for first, stop in C.slices(batch.column(column), SLICE_BYTES):
+            part = batch.slice(first, stop - first)
+            yield part, read(part.column(column))
+
+
+def rows_of(keys: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, key) pairs of keys from 0 to n - 1."""
+    pairs = np.unique(row.astype(np.int64) * max(n, 1) + keys)
+    return pairs // max(n, 1), pairs % max(n, 1)
+
+
+def trigram_counts(tokens: list[str], times: np.ndarray) -> np.ndarray:
+    """Counts of three states in a row over tokens, each as often as it stands in the texts."""
     table = np.full(256, EDGE, np.int64)
     table[ord("a") : ord("z") + 1] = np.arange(26)
-    table[ord("A") : ord("Z") + 1] = np.arange(26)
     table[128:] = OTHER
-    for t in texts:
-        a = table[np.frombuffer((" " + t + " ").encode("latin-1", "replace"), np.uint8)]
-        if len(a) > 2:
-            n += np.bincount(a[:-2] * STATES * STATES + a[1:-1] * STATES + a[2:], minlength=STATES**3)
-    return n
+    line = "".join(["  ", *(t + "  " for t in tokens)])
+    a = table[np.frombuffer(line.encode("latin-1", "replace"), np.uint8)]
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    # A trigram belongs to the token that its last state is of, or whose end that is.
+    weight = np.repeat(times, lengths)
+    return np.bincount(a[:-2] * STATES * STATES + a[1:-1] * STATES + a[2:], weights=weight, minlength=STATES**3).astype(np.int64)
 
 
 class Channel:
@@ -129,26 +170,33 @@ class Channel:
             node = node[1]
         return "".join(reversed(out))
 
-    def restored(self, text: str) -> set[str]:
-        """The words of the text in lower case, and what its disguised tokens stand for."""
-        low = text.lower()
-        words: set[str] = set()
-        for token in set(low.split()):
-            bare = token.strip(_ENDS)
-            if bare.isalpha():
-                words.add(bare)
-                if not _DOUBLE.search(bare) or bare in self.usual:
-                    continue
-            else:
-                words.update(_LETTER_RUN.findall(bare))
-                if not _LEGIBLE.search(bare):
-                    continue
-            for word in self._remember(bare):
-                words.update(_LETTER_RUN.findall(word))
-        for m in _SPACED.finditer(low):
-            for run in self._remember("".join(t[0] for t in m[0].split())):
-                words.update(run[i : i + LONGEST] for i in range(len(run)))  # where one spaced word ends isn't known
-        return words
+    def cost_of(self, word: str) -> float:
+        """Of a word as the character model sees it, with its end."""
+        a, b, total = EDGE, EDGE, 0.0
+        for s in map(state, word):
+            total += self.cost[a][b][s]
+            a, b = b, s
+        return total + self.cost[a][b][EDGE]
+
+    def segmented(self, run: str) -> list[str]:
+        """The words that a run of letters without spaces is most likely made of; linear in its length."""
+        beams: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(EDGE, EDGE): (0.0, None, "")}
+        for i, ch in enumerate(run):
+            s, new = state(ch), {}
+            for (a, b), node in beams.items():
+                ways = [((b, s), node[0] + self.cost[a][b][s], ch)]
+                if i:
+                    ways.append(((EDGE, s), node[0] + self.cost[a][b][EDGE] + self.cost[EDGE][EDGE][s], " " + ch))
+                for at, v, text in ways:
+                    if at not in new or v < new[at][0]:
+                        new[at] = (v, node, text)
+            beams = new
+        end = min(beams, key=lambda k: beams[k][0] + self.cost[k[0]][k[1]][EDGE])
+        node, out = beams[end], []
+        while node is not None:
+            out.append(node[2])
+            node = node[1]
+        return "".join(reversed(out)).split()
 
     def readings(self, token: str) -> tuple[str, ...]:
         """What a token stands for, with what is written again as one letter and as more."""
@@ -156,6 +204,26 @@ class Channel:
             return (self.decode(token),)
         return self.decode(token), token if token.isalpha() else self.decode(token, repeats=False)
 
+    def restored(self, token: str) -> tuple[str, ...]:
+        """The words of a token in lower case that is not plain letters, or has a doubled one, and what it stands for."""
+        words = set(_LETTER_RUN.findall(token))
+        if _LEGIBLE.search(token):
+            # Signs that stand for no letter cost the same wherever they are: without them more tokens are alike.
+            heard = _MUTE.sub(lambda m: m[0] if m[0] in SIGNS or m[0] in FILLERS else "", token)
+            for word in (heard,) if heard.isalpha() and not _AGAIN.search(heard) else self._remember(heard):
+                words.update(_LETTER_RUN.findall(word))
+        return tuple(words)
+
+    def unspaced(self, run: str) -> tuple[str, ...]:
+        """The words of a run of single characters: all of it, its likely words, and what may begin at each of them."""
+        words: set[str] = set()
+        for reading in self._remember(run):
+            for letters in _LETTER_RUN.findall(reading):
+                words.add(letters)
+                words.update(self.segmented(letters))
+                words.update(letters[i : i + PREFIXES[-1]] + OPEN for i in range(len(letters) - PREFIXES[0] + 1))
+        return tuple(words)
+
     def _remember(self, token: str) -> tuple[str, ...]:
         if len(token) > 64:
             return self.readings(token)
@@ -169,71 +237,217 @@ class Channel:
     def __getstate__(self) -> dict:
         return {"cost": self.cost, "usual": self.usual}
 
-
-def features(words: set[str]) -> set[str]:
-    """Words, marked as whole, and their beginnings."""
-    return {w + "$" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+    def words(self, r: Read, wanted: Callable[[Features], np.ndarray], join: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[Features, np.ndarray, np.ndarray]:
+        """The features of the words that texts have and that their disguised tokens stand for, and the distinct pairs
+        (row, word) of wanted words. join tells of hashes of whole words whether two tokens in a row that make one are
+        worth a look; they count as a word where that is likelier than two."""
+        plain = pc.and_(pc.utf8_is_alpha(r.bare), pc.invert(pc.match_substring_regex(r.bare, _DOUBLE))).to_numpy(zero_copy_only=False)
+        words = r.bare.to_pylist()
+        number = {w: i for i, w in enumerate(words)}
+        more: list[tuple[int, tuple[str, ...]]] = []  # (token, its words)
+        for i in np.flatnonzero(~plain).tolist():
+            w = words[i]
+            if w in self.usual:
+                plain[i] = True
+            elif w:
+                more.append((i, self.restored(w)))
+        rows, extra = [], len(words)  # of what isn't a single token
+        for row, run in spaced(r):
+            rows.append(row)
+            more.append((extra + len(rows) - 1, self.unspaced(run)))
+        if join:
+            for row, a, b in joined(r, words, plain, join):
+                if self.cost_of(a + b) + self.FILLER < self.cost_of(a) + self.cost_of(b):
+                    rows.append(row)
+                    more.append((extra + len(rows) - 1, (a + b,)))
+        # token -> its words: itself where it is plain, else the ones in `more`.
+        n_tokens = extra + len(rows)
+        counts = np.zeros(n_tokens, np.int64)
+        counts[:extra] = plain
+        flat = []
+        for i, ws in more:
+            counts[i] = len(ws)
+            flat += [number.setdefault(w, len(number)) for w in ws]
+        words = list(number)
+        ends = np.cumsum(counts)
+        of = np.empty(ends[-1] if n_tokens else 0, np.int64)
+        own = np.flatnonzero(plain)
+        of[ends[own] - 1] = own
+        other = np.array([i for i, ws in more if ws], np.int64)
+        if len(other):
+            of[C.ragged(ends[other] - counts[other], counts[other])] = flat
+
+        f = features(words)
+        hit = wanted(f)
+        some = np.concatenate([[0], np.cumsum(hit[of])])
+        token_hit = some[ends] > some[ends - counts]
+        at = np.flatnonzero(token_hit[r.word])
+        row, token = np.concatenate([r.row[at], np.array(rows, np.int64)]), np.concatenate([r.word[at], extra + np.arange(len(rows))])
+        row, token = rows_of(token, row, n_tokens)
+        row, word = np.repeat(row, counts[token]), of[C.ragged(ends[token] - counts[token], counts[token])]
+        keep = hit[word]
+        return f, *rows_of(word[keep], row[keep], len(words))
+
+
+def spaced(r: Read) -> Iterator[tuple[int, str]]:
+    """(row, characters) of three or more single characters in a row."""
+    short = pc.match_substring_regex(r.tokens, _SHORT).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(short[r.token])
+    if not len(at):
+        return
+    first = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(r.row[at]) > 0)])
+    starts = np.flatnonzero(first)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+        if b - a > 2:
+            yield int(r.row[at[a]]), "".join(r.tokens[i].as_py()[0] for i in r.token[at[a:b]].tolist())
+
+
+def joined(r: Read, words: list[str], plain: np.ndarray, join: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, str, str]]:
+    """(row, a, b) of two plain tokens in a row whose whole may be a word worth a look, each pair once for each row."""
+    value, power = polynomials(words)
+    a, b = r.word[:-1], r.word[1:]
+    at = np.flatnonzero((r.row[:-1] == r.row[1:]) & plain[a] & plain[b])
+    a, b = a[at], b[at]
+    hit = np.flatnonzero(join(whole(value[a] + power[a] * value[b])))
+    for row, x, y in sorted(set(zip(r.row[at[hit]].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True))):
+        yield row, words[x], words[y]
+
+
+def polynomials(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the sum of its characters times powers of a constant, and the next power."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    sums, starts = running(words, lengths)
+    powers = power_of(lengths)
+    return sums[starts + lengths] - sums[starts], powers[lengths]
+
+
+def power_of(lengths: np.ndarray) -> np.ndarray:
+    """The powers of the constant, as many as the longest word takes."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(lengths.max(initial=0), _P)]), dtype=np.uint64)
+
+
+def running(words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over the characters of all words, and where each word starts."""
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    starts = np.cumsum(lengths) - lengths
+    powers = power_of(lengths)
+    place = np.arange(len(chars)) - np.repeat(starts, lengths)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * powers[place], dtype=np.uint64)]), starts
+
+
+def whole(value: np.ndarray) -> np.ndarray:
+    return _mixed(value)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Features:
+    """64-bit hashes of the features of words, word by word: the word as a whole, and its beginnings."""
+
+    words: list[str]
+    word: np.ndarray
+    hash: np.ndarray
+
+    def any(self, hit: np.ndarray) -> np.ndarray:
+        """Of each word whether one of its features is hit."""
+        return np.bincount(self.word[hit], minlength=len(self.words)) > 0
+
+
+def features(words: list[str]) -> Features:
+    open_ = np.fromiter((w.endswith(OPEN) for w in words), bool, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    sums, starts = running(words, lengths)
+    lengths = lengths - open_
+    at, hashes = [np.flatnonzero(~open_)], []
+    hashes.append(whole(sums[starts[at[0]] + lengths[at[0]]] - sums[starts[at[0]]]))
+    for n in PREFIXES:
+        has = np.flatnonzero(lengths >= n)
+        at.append(has)
+        hashes.append(_mixed((sums[starts[has] + n] - sums[starts[has]]) ^ np.uint64(n << 56)))
+    return Features(words, np.concatenate(at), np.concatenate(hashes))
 
 
 class Filter:
     """Features that may be in a table: all that are, and few others. Its size is fixed."""
 
-    def __init__(self, table: DataFrame):
-        bit = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(FILTER_BITS))
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Filter:
+        bit = F.pmod(F.col("feature"), F.lit(FILTER_BITS))
         found = table.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).collect()
         words = np.zeros(FILTER_BITS // 32, "<u4")
         for r in found:
             words[r["at"]] = r["bits"]
-        self.bits = words.tobytes()
+        return cls(words.view(np.uint8))
 
-    def __contains__(self, feature: str) -> bool:
-        h = zlib.crc32(feature.encode("utf-8")) % FILTER_BITS
-        return self.bits[h >> 3] >> (h & 7) & 1 == 1
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes % np.uint64(FILTER_BITS)
+        return (self.bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Scorer:
-    """Weights of features: those of heavy ones in a dictionary, all others in a table (feature, weight)."""
-
-    def __init__(self, heavy: dict[str, float], light: Filter):
-        self.heavy, self.light, self.words = heavy, light, {}
-
-    def weight(self, w: str) -> tuple[float, tuple[str, ...]]:
-        """Of the word's strongest heavy feature, and its features that the table may have."""
-        if w not in self.words:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            fs = features({w})
-            self.words[w] = max([0.0, *(self.heavy.get(f, 0.0) for f in fs)]), tuple(sorted(f for f in fs if f not in self.heavy and f in self.light))
-        return self.words[w]
-
-    def evidence(self, words: set[str]) -> tuple[list[float], list[int], list[float], list[str]]:
-        """The largest weights of words that the table can't change; and of all others a number, the weight so far and
-        the feature to look up."""
-        sure, numbers, so_far, lookups = [], [], [], []
-        for i, w in enumerate(words):
-            v, fs = self.weight(w)
-            if fs:
-                numbers += [i] * len(fs)
-                so_far += [v] * len(fs)
-                lookups += fs
-            elif v > 0:
+    """Weights of features: those of heavy ones here, all others in a table (feature, weight)."""
+
+    def __init__(self, heavy: dict[int, float], light: Filter):
+        keys = np.array(sorted(k % 2**64 for k in heavy), np.uint64)
+        self.keys, self.weights, self.light = keys, np.array([heavy[int(k) - (int(k) >> 63 << 64)] for k in keys]), light
+
+    def weight(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for features that aren't heavy."""
+        if not len(self.keys):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.weights[at], 0.0)
+
+    def evidence(self, channel: Channel, r: Read, rows: int) -> list[tuple[list, list, list, list]]:
+        """For each row the largest weights of words that the table can't change; and of all others a number, the
+        weight so far and the features to look up."""
+        weight = lookups = None
+
+        def wanted(f: Features) -> np.ndarray:
+            nonlocal weight, lookups
+            w = self.weight(f.hash)
+            lookups = (w == 0) & self.light.has(f.hash)
+            weight = np.zeros(len(f.words))
+            np.maximum.at(weight, f.word, w)
+            return (weight > 0) | f.any(lookups)
+
+        f, row, word = channel.words(r, wanted, lambda whole: self.weight(whole) > 0)
+        look = np.flatnonzero(lookups)
+        look = look[np.argsort(f.word[look], kind="stable")]
+        starts = np.searchsorted(f.word[look], np.arange(len(f.words) + 1)).tolist()
+        hashes = f.hash[look].view(np.int64).tolist()
+        out: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(rows)]
+        for i, w, v in zip(row.tolist(), word.tolist(), weight[word].tolist(), strict=True):
+            sure, numbers, so_far, features_ = out[i]
+            a, b = starts[w], starts[w + 1]
+            if a < b:
+                numbers += [w] * (b - a)
+                so_far += [v] * (b - a)
+                features_ += hashes[a:b]
+            else:
                 sure.append(v)
-        return sorted(sure, reverse=True)[:TOP], numbers, so_far, lookups
-
-    def __getstate__(self) -> dict:
-        return {"heavy": self.heavy, "light": self.light, "words": {}}
+        return [(sorted(sure, reverse=True)[:TOP], *rest) for sure, *rest in out]
 
 
 def evidence_of(rows: DataFrame, keep: str, kind: str, channel: Channel, scorer: Scorer, table: DataFrame) -> DataFrame:
     """(keep, top, some) for each of rows (keep, _text): the largest weight, and the sum of the largest few, each word
     counting once with its strongest feature."""
+    types = [pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+    names = ["sure", "numbers", "so_far", "lookups"]
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [scorer.evidence(channel.restored(t)) for t in b["_text"]]
-            yield pd.DataFrame({keep: b[keep].astype("Int64"), **{c: [e[i] for e in found] for i, c in enumerate(("sure", "numbers", "so_far", "lookups"))}})
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, r in sliced(batches):
+            found = zip(*scorer.evidence(channel, r, len(part)), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(keep), *(pa.array(c, t) for c, t in zip(found, types, strict=True))], names=[keep, *names])
 
-    found = rows.select(keep, "_text").mapInPandas(seen, f"{keep} {kind}, sure array<double>, numbers array<int>, so_far array<double>, lookups array<string>")
+    found = rows.select(keep, "_text").mapInArrow(seen, f"{keep} {kind}, sure array<double>, numbers array<int>, so_far array<double>, lookups array<long>")
     found = C.written(found.withColumn("_row", F.monotonically_increasing_id()), "toxic-evidence")
     open_ = found.select("_row", F.explode(F.arrays_zip("numbers", "so_far", "lookups")).alias("o")).select("_row", "o.numbers", "o.so_far", F.col("o.lookups").alias("feature"))
     open_ = open_.hint("merge").join(table, "feature", "left").groupBy("_row", "numbers").agg(F.greatest(F.max("so_far"), F.max(F.coalesce("weight", F.lit(0.0)))).alias("v"))
@@ -261,32 +475,24 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def doubled_words(text: str) -> set[str]:
-    """The words of a text, in lower case, that have a doubled letter."""
-    return {w for token in set(text.lower().split()) if _DOUBLE.search(token) and (w := token.strip(_ENDS)).isalpha()}
-
-
 def channel_of(docs: DataFrame) -> Channel:
     """The channel with a character model of all rows of docs (_text), and the usual words with doubled letters. The
     driver gets STATES**3 sums and 1 / USUAL_SHARE words at most."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, doubled = np.zeros(STATES**3, np.int64), Counter()
-        for b in batches:
-            n += trigram_counts(iter(b["_text"]))
-            for t in b["_text"]:
-                doubled.update(doubled_words(t))
-            if len(doubled) > 500_000:
-                yield pd.DataFrame({"at": -1, "word": list(doubled.keys()), "n": list(doubled.values())})
-                doubled.clear()
+    schema = pa.schema([("at", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(STATES**3, np.int64)
+        for _, r in sliced(batches):
+            n += trigram_counts(r.tokens.to_pylist(), np.bincount(r.token, minlength=len(r.tokens)))
+            doubled = pc.and_(pc.utf8_is_alpha(r.bare), pc.match_substring_regex(r.bare, _DOUBLE)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(doubled[r.word])
+            words, rows = np.unique(rows_of(r.word[at], r.row[at], len(r.bare))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), -1)), r.bare.take(pa.array(words)).cast(pa.string()), pa.array(rows)], schema=schema)
         at = np.flatnonzero(n)
-        if len(at):
-            yield pd.DataFrame({"at": at, "word": [""] * len(at), "n": n[at]})
-        if doubled:
-            yield pd.DataFrame({"at": -1, "word": list(doubled.keys()), "n": list(doubled.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([""] * len(at), pa.string()), pa.array(n[at])], schema=schema)
 
     # Read twice: the sums, and the words that have their share.
-    sums = C.written(docs.select("_text").mapInPandas(count, "at long, word string, n long").groupBy("at", "word").agg(F.sum("n").alias("n")), "toxic-channel")
+    sums = C.written(docs.select("_text").mapInArrow(count, "at long, word string, n long").groupBy("at", "word").agg(F.sum("n").alias("n")), "toxic-channel")
     counts = np.zeros(STATES**3, np.int64)
     for r in sums.where("at >= 0").collect():
         counts[r["at"]] = r["n"]
@@ -298,28 +504,25 @@ def channel_of(docs: DataFrame) -> Channel:
 def feature_counts(rows: DataFrame, channel: Channel, only: Filter | None = None) -> DataFrame:
     """(feature, n): in how many rows each feature stands, of those that may be in only; partial counts before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        known: dict[str, list[str]] = {}
-        for b in batches:
-            for t in b["_text"]:
-                words = channel.restored(t)
-                if only is None:
-                    n.update(features(words))
-                    continue
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = [f for f in features({w}) if f in only]
-                n.update({f for w in words for f in known[w]})
-            if len(n) > 1_000_000:
-                yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
-                n.clear()
-        if n:
-            yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
-
-    return rows.select("_text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, r in sliced(batches):
+            seen = np.empty(0, bool)
+
+            def wanted(f: Features) -> np.ndarray:
+                nonlocal seen
+                seen = only.has(f.hash) if only else np.ones(len(f.hash), bool)
+                return f.any(seen)
+
+            f, row, word = channel.words(r, wanted)
+            hashes, number = np.unique(f.hash[seen], return_inverse=True)
+            order = np.argsort(f.word[seen], kind="stable")
+            counts = np.bincount(f.word[seen], minlength=len(f.words))
+            starts = np.cumsum(counts) - counts
+            of = number[order][C.ragged(starts[word], counts[word])]
+            n = np.bincount(rows_of(of, np.repeat(row, counts[word]), len(hashes))[1], minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["feature", "n"])
+
+    return rows.select("_text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: int) -> tuple[Scorer, DataFrame, tuple[float, float, float]]:
@@ -331,12 +534,12 @@ def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: i
     bad, good = rows.where("toxic = 1 AND _part > 0"), rows.where("toxic = 0 AND _part > 0")
     n_bad, n_good = bad.count(), good.count()
     in_bad = C.written(feature_counts(bad, channel).where(F.col("n") >= LEAST_ROWS), "toxic-features")
-    in_good = feature_counts(good, channel, Filter(in_bad)).withColumnRenamed("n", "n2")
+    in_good = feature_counts(good, channel, Filter.of(in_bad)).withColumnRenamed("n", "n2")
     weight = F.log((F.col("n") + 0.1) / (n_bad + 0.2)) - F.log((F.coalesce("n2", F.lit(0)) + 0.5) / (n_good + 1))
     weights = C.written(in_bad.hint("merge").join(in_good, "feature", "left").select("feature", "n", weight.alias("weight")).where("weight > 1"), "toxic-weights")
     heavy = F.col("n") >= max(LEAST_ROWS, math.ceil(HEAVY_SHARE * n_bad))
     table = weights.where(~heavy).select("feature", "weight")
-    scorer = Scorer({r["feature"]: r["weight"] for r in weights.where(heavy).collect()}, Filter(table))
+    scorer = Scorer({r["feature"]: r["weight"] for r in weights.where(heavy).collect()}, Filter.of(table))
     part = C.hashed_sample(rows.where("_part = 0"), "_id", sample_rows)
     seen = evidence_of(part, "toxic", "int", channel, scorer, table).toPandas().sort_values(["top", "some", "toxic"])
     return scorer, table, fit_logistic(seen[["top", "some"]].to_numpy(float), seen["toxic"].to_numpy(float))
