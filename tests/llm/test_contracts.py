@@ -243,6 +243,61 @@ def test_op3_blocks_lose_no_link():
     assert links > 300
 
 
+def test_op3_counts_of_any_size():
+    """Many shingles in one group: counts are whole, so the bound stays above the overlap."""
+    import numpy as np
+
+    from tidemill.llm.jaccard import DIMS, CountTree, linked
+
+    base = np.arange(140_000, dtype=np.uint64) * np.uint64(DIMS)
+    sets = [base[i * 1000 :] for i in range(4)]
+    assert linked(sets[0], sets[3], 85, 100)
+    tree = CountTree(sets, np.arange(4))
+    assert {frozenset(p) for p in tree.pairs(tree, 85, 100)} == {frozenset((i, j)) for i in range(4) for j in range(i)}
+
+
+def test_op3_trees_against_all_pairs():
+    """Trees give each pair within the bound once, within one and between two; and none at all where the roots are apart."""
+    import numpy as np
+
+    from tidemill.llm.jaccard import DIMS, CountTree
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 500 if i % 3 else 2**63, int(rng.integers(1, 60))).astype(np.uint64)) for i in range(90)]
+    counts = [np.bincount((s % np.uint64(DIMS)).astype(np.int64), minlength=DIMS) for s in sets]
+    within = lambda i, j: 185 * np.minimum(counts[i], counts[j]).sum() >= 85 * (len(sets[i]) + len(sets[j]))
+    for n, m in ((1, 1), (1, 40), (17, 3), (50, 40), (2, 0)):
+        a, b = np.arange(n), np.arange(n, n + m)
+        one = CountTree(sets, a)
+        inside = [frozenset(p) for p in one.pairs(one, 85, 100)]
+        assert len(set(inside)) == len(inside) and set(inside) == {frozenset((i, j)) for i in a for j in a if i < j and within(i, j)}
+        if m:
+            both = list(one.pairs(CountTree(sets, b), 85, 100))
+            assert len(set(both)) == len(both) and set(both) == {(i, j) for i in a for j in b if within(i, j)}
+
+
+def test_op3_outsiders(spark):
+    """Two families in one block, larger than a page, and texts that link with none: classes are those of all pairs."""
+    from tidemill.llm import jaccard
+
+    rng = random.Random(21)
+    shared, texts = [f"s{i}" for i in range(40)], []
+    for f in range(3):
+        own = shared + [f"f{f}x{i}" for i in range(12)]
+        for _ in range(30):
+            t = list(own)
+            t[rng.randrange(40, 52)] = f"r{rng.random()}"
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    old, jaccard.PAGE = jaccard.PAGE, 7
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["_id"]: r["component_id"] for r in jaccard.similarity_classes(df, k=2, num=80, den=100).collect()}
+    finally:
+        jaccard.PAGE = old
+    assert got == classes({i: shingle_set(t, 2) for i, t in enumerate(texts)}, 80, 100)
+
+
 def test_op4(spark, tables, rows):
     out = by_id(run(spark, "op4_license_scan", tables))
     phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -24,6 +24,8 @@ FANOUT = 16
 PAGE, PAGE_SHINGLES = 512, 2_000_000
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 500_000
+#: Keys of sets that a task remembers to have signed; a forgotten one is signed again.
+MOST_SEEN = 500_000
 SIGNATURE_MASK = (1 << 48) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +113,7 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray], rows: np.ndarray):
         self.size = np.array([len(sets[i]) for i in rows])
-        counts = np.array([np.minimum(np.bincount((sets[i] % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 65535) for i in rows], np.uint16).reshape(len(rows), DIMS)
+        counts = np.array([np.bincount((sets[i] % np.uint64(DIMS)).astype(np.int64), minlength=DIMS) for i in rows], np.uint32).reshape(len(rows), DIMS)
         order = np.lexsort((counts[:, 1], counts[:, 0], self.size))
         self.rows, self.size = rows[order], self.size[order]
         self.levels = [(counts[order], self.size)]
@@ -125,7 +127,8 @@ class CountTree:
         height = max(len(self.levels), len(other.levels))
         level = lambda t, i: t.levels[min(i, len(t.levels) - 1)]
         fan = lambda t, i, at: range(at, at + 1) if i >= len(t.levels) - 1 else range(at * FANOUT, min((at + 1) * FANOUT, len(t.levels[i][1])))
-        todo = [(height - 1, 0, 0)]
+        (a, na), (b, nb) = level(self, height - 1), level(other, height - 1)
+        todo = [(height - 1, 0, 0)] * bool(np.minimum(a[0], b[0]).sum(dtype=np.int64) * (num + den) >= num * (na[0] + nb[0]) and (self is not other or height > 1))
         while todo:
             i, u, v = todo.pop()
             if i:
@@ -146,15 +149,16 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def spanning_links(keys: list[int], pages: list[bool], texts: list[str], k: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links that connect what links connect: within one page, or between two. A pair that is connected
-    already is not looked at again."""
+def spanning_links(keys: list[int], right: list[bool], texts: list[str], classes: list[int] | None, k: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links that connect what links connect: within the texts on the left if there are none on the right,
+    else between both. Pairs of one class are connected already, and one that a link has connected isn't looked at again."""
     shingler, first = Shingler(k), {}
     for i, key in enumerate(keys):
         first.setdefault(key, i)
     at = list(first.values())
     sets = {i: shingler(texts[i]) for i in at}
-    parent = {i: i for i in at}
+    leader: dict[int, int] = {}
+    parent = {i: leader.setdefault(classes[i], i) if classes else i for i in at}
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -162,9 +166,9 @@ def spanning_links(keys: list[int], pages: list[bool], texts: list[str], k: int,
             i = parent[i]
         return i
 
-    left, right = (np.array([i for i in at if pages[i] == p], np.int64) for p in (False, True))
+    left, other = (np.array([i for i in at if right[i] == p], np.int64) for p in (False, True))
     a = CountTree(sets, left) if len(left) else None
-    b = CountTree(sets, right) if len(right) else None
+    b = CountTree(sets, other) if len(other) else None
     out = []
     for x, y in (a or b).pairs(b or a, num, den) if a or b else ():
         i, j = root(x), root(y)
@@ -179,9 +183,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     similarity of k-word shingles make, named by its least id.
 
     Equal sets are one point. Sets meet in blocks by shared signatures; a block is named by its least key, so that all
-    that meet anywhere meet in a block to which each set belongs a few times. Blocks are cut into pages, two pages to a
-    task, and joined by R-trees over group counts; pairs that survive are verified on the sets themselves. Only links
-    that connect something new leave a task, so a group of copies gives as many rows as it has texts.
+    that meet anywhere meet in a block to which each set belongs a few times. First the set that names a block is
+    joined with all others there, which makes most families one class; then those of a block that are outside its class
+    are joined with all in it. Both joins are of R-trees over group counts, in pages, and pairs that survive are
+    verified on the sets themselves. So each text goes along once for each of its blocks, and again only for pages of
+    outsiders. Only links that connect something new leave a task: a group of copies gives as many rows as it has texts.
 
     A text under k words is one shingle. Null text or one without words has no shingles, links with nothing and is its
     own class. Null ids are never the name of a class that has another id. Repeated rows are in one class. An empty
@@ -190,50 +196,72 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("long").alias("_id"), C.text_of(text_col).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     blocks = Blocks(num, den)
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(k)
-        for b in batches:
-            sets = [shingler(t) for t in b["_text"]]
-            yield pd.DataFrame({"_id": b["_id"].astype("Int64"), "_th": b["_th"], "n_shingles": [len(s) for s in sets], "_key": pd.array([set_key(s) if len(s) else None for s in sets], "Int64")})
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
         for batch in batches:
-            keys, marks = [], []
-            for text in batch.column(0).to_pylist():
+            sizes, keys, marks = [], [], []
+            for text in batch.column("_text").to_pylist():
                 s = shingler(text)
-                if len(s) and (key := set_key(s)) not in seen:
-                    if len(seen) > 1_000_000:
+                sizes.append(len(s))
+                keys.append(set_key(s) if len(s) else None)
+                if new := len(s) and keys[-1] not in seen:  # equal sets have equal signatures
+                    if len(seen) > MOST_SEEN:
                         seen.clear()
-                    seen.add(key)
-                    marks.append(blocks.signatures(s))
-                    keys.append(np.full(len(marks[-1]), key, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(keys))], names=["_mark", "_key"])
-
-    points = C.written(src.mapInPandas(measured, "_id long, _th long, n_shingles long, _key long"), "jaccard-points")
-    marks = src.select("_text").mapInArrow(signed, "_mark long, _key long")
-    met = marks.withColumn("_block", F.min("_key").over(Window.partitionBy("_mark"))).where("_key != _block").select("_key", "_block").distinct()
-    met = C.written(met, "jaccard-met")
-    met = met.union(met.select("_block", "_block").distinct())
-
-    one = points.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("n_shingles").alias("_n"))
-    met = met.join(one, "_key")
-    pages = F.ceil(F.greatest(F.count("*") / PAGE, F.sum("_n") / PAGE_SHINGLES)).cast("int")
-    met = met.join(met.groupBy("_block").agg(pages.alias("_pages")), "_block")
-    met = met.withColumn("_page", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1)))
-    met = met.select(F.col("_row._id").alias("_id2"), F.col("_row._th").alias("_th2"), "_key", "_block", F.least("_page", "_other").alias("_p"), F.greatest("_page", "_other").alias("_q"), (F.col("_page") > F.col("_other")).alias("_right"))
-    work = src.join(met, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).select("_key", "_block", "_p", "_q", "_right", "_text")
-
-    def joined(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(spanning_links(frame["_key"].tolist(), frame["_right"].tolist(), frame["_text"].tolist(), k, num, den), columns=["a", "b"], dtype="int64")
-
-    links = work.groupBy("_block", "_p", "_q").applyInPandas(joined, "a long, b long")
-    classes = connected_components(links)
+                    seen.add(keys[-1])
+                marks.append(blocks.signatures(s).view(np.int64) if new else np.empty(0, np.int64))
+            ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *marks])))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], names=["_id", "_th", "n_shingles", "_key", "_marks"])
+
+    points = C.written(src.mapInArrow(measured, "_id long, _th long, n_shingles long, _key long, _marks array<long>"), "jaccard-points")
+    marks = points.select(F.explode("_marks").alias("_mark"), "_key")
+    # Tables that are joined are written: so both sides of a join are plain shuffles, and Spark can split a heavy key.
+    shared = C.written(marks.groupBy("_mark").agg(F.min("_key").alias("_block"), F.max("_key").alias("_most")).where("_block != _most").select("_mark", "_block"), "jaccard-marks")
+    met = C.written(marks.join(shared, "_mark").where("_key != _block").select("_key", "_block").distinct(), "jaccard-met")
+
+    points = points.drop("_marks")
+    one = C.written(points.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("n_shingles").alias("_n")), "jaccard-sets")
+    met = C.written(met.join(one, "_key").select("_key", "_block", "_row", "_n"), "jaccard-members")
+    heads = met.select(F.col("_block").alias("_key")).distinct().join(one, "_key").select("_key", F.col("_key").alias("_block"), "_row", "_n")
+    paged = lambda n, total: F.ceil(F.greatest(n / PAGE, total / PAGE_SHINGLES)).cast("int")
+
+    def joined(work: DataFrame) -> DataFrame:
+        """Links between the right and the left of each (_block, _p, _q) of work, whose texts are fetched by _row."""
+
+        def links(frame: pd.DataFrame) -> pd.DataFrame:
+            found = spanning_links(*(frame[c].tolist() for c in ("_key", "_right", "_text", "_class")), k, num, den)
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        work = work.select(F.col("_row._id").alias("_id2"), F.col("_row._th").alias("_th2"), "_key", "_class", "_block", "_p", "_q", "_right")
+        work = src.join(work, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).drop("_id", "_th", "_id2", "_th2")
+        return work.groupBy("_block", "_p", "_q").applyInPandas(links, "a long, b long")
+
+    # Heads with all that they meet.
+    sizes = C.written(met.groupBy("_block").agg(paged(F.count("*"), F.sum("_n")).alias("_pages")), "jaccard-sizes")
+    columns = ["_key", F.col("_key").alias("_class"), "_block", "_row", "_p", F.lit(-1).alias("_q")]
+    members = met.join(sizes, "_block").withColumn("_p", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).select(*columns, F.lit(True).alias("_right"))
+    work = heads.join(sizes, "_block").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1))).select(*columns, F.lit(False).alias("_right"))
+    classes = C.written(connected_components(joined(work.union(members))), "jaccard-classes")
+
+    # Those outside the class of their block's head with all that the block holds.
+    of = lambda c, name: classes.select(F.col("node").alias(c), F.col("component").alias(name))
+    met = met.join(of("_key", "_kc"), "_key", "left").join(of("_block", "_bc"), "_block", "left")
+    met = met.withColumn("_class", F.coalesce("_kc", "_key")).withColumn("_out", F.col("_class") != F.coalesce("_bc", "_block")).drop("_kc", "_bc")
+    met = C.written(met, "jaccard-classed")
+    sizes = met.groupBy("_block").agg(paged(F.count_if("_out"), F.sum(F.when(F.col("_out"), F.col("_n")))).alias("_outs"), (paged(1 + F.count_if(~F.col("_out")), F.sum("_n"))).alias("_ins"))
+    sizes = C.written(sizes.where("_outs > 0"), "jaccard-outside")
+    if not sizes.isEmpty():
+        heads = heads.join(of("_key", "_kc"), "_key", "left").select("_key", "_block", "_row", "_n", F.coalesce("_kc", "_key").alias("_class"), F.lit(False).alias("_out"))
+        every = met.select("_key", "_block", "_row", "_n", "_class", "_out").unionByName(heads).join(sizes, "_block")
+        # Pages of outsiders come first; those of others, after them, meet only these.
+        page = F.when(F.col("_out"), F.pmod(F.xxhash64("_key"), F.col("_outs"))).otherwise(F.col("_outs") + F.pmod(F.xxhash64("_key"), F.col("_ins"))).cast("int")
+        every = every.withColumn("_page", page).withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("_out"), F.col("_outs") + F.col("_ins") - 1).otherwise(F.col("_outs") - 1))))
+        work = every.select("_key", "_class", "_block", "_row", F.least("_page", "_other").alias("_p"), F.greatest("_page", "_other").alias("_q"), (F.col("_page") > F.col("_other")).alias("_right"))
+        classes = C.written(connected_components(joined(work).union(classes.select("node", "component"))), "jaccard-classes")
 
     rows = points.join(classes, points["_key"] == classes["node"], "left").withColumn("_class", F.coalesce("component", "_key"))
-    rows = rows.select("_id", "_th", "n_shingles", "_class")
-    names = rows.where("_class IS NOT NULL").groupBy(F.col("_class").alias("_of")).agg(F.min("_id").alias("_name"))
+    rows = C.written(rows.select("_id", "_th", "n_shingles", "_class"), "jaccard-rows")
+    names = C.written(rows.where("_class IS NOT NULL").groupBy(F.col("_class").alias("_of")).agg(F.min("_id").alias("_name")), "jaccard-names")
     out = rows.join(names, F.col("_class") == F.col("_of"), "left")
     return out.select("_id", "_th", "n_shingles", F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_name")).alias("component_id"))
 

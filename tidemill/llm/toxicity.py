@@ -51,21 +51,23 @@ _AGAIN = re.compile(r"(.)\1")
 #: Marks at the ends of a token that stand for no letter.
 _ENDS = ".,;:?)\"'"
 #: Disguised tokens whose restorations a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Words with a doubled letter in so many rows, and so large a share of the rows of all such words, are spelled so: they
 #: aren't decoded, and their own weights count. The share bounds how many there are.
 USUAL_ROWS, USUAL_SHARE = 25, 1 / 20_000
 #: Bytes of text that are read at once; a longer text goes alone.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Ends a string that only its beginnings are known of.
 OPEN = "*"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+_STATE = {c: i for i, c in enumerate(LETTERS)}
+
+
 def state(ch: str) -> int:
-    i = ord(ch) - 97
-    return i if 0 <= i < 26 else OTHER
+    return _STATE.get(ch, OTHER)
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ def read(texts: pa.Array) -> Read:
     flat = split.flatten().dictionary_encode()
     bare = pc.utf8_trim(flat.dictionary, _ENDS).dictionary_encode()
     token = flat.indices.to_numpy()
-    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy()))
     return Read(flat.dictionary, bare.dictionary, row, token, bare.indices.to_numpy()[token])
 
 
@@ -141,26 +143,40 @@ class Channel:
     def decode(self, token: str, repeats: bool = True) -> str:
         """The word that a token stands for; in lower case. Linear in the token's length. Without repeats, each letter
         and sign that is written again counts again."""
-        cost = self.cost
+        cost, n, i = self.cost, len(token), 0
         beams: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(EDGE, EDGE): (0.0, None, "")}
-        for i, ch in enumerate(token):
+        while i < n:
+            ch = token[i]
+            again = i > 0 and ch == token[i - 1]
+            if len(beams) == 1 and not again and ch.isalpha():  # one path, as far as letters leave no choice
+                (((a, b), node),) = beams.items()
+                total, first = node[0], i
+                while ch.isalpha() and (i == first or ch != token[i - 1]):
+                    s = state(ch)
+                    total += cost[a][b][s]
+                    a, b = b, s
+                    i += 1
+                    if i == n:
+                        break
+                    ch = token[i]
+                beams = {(a, b): (total, node, token[first:i])}
+                continue
             new: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
-
-            def put(at: tuple[int, int], v: float, back: tuple | None, letter: str, new: dict = new) -> None:
-                if at not in new or v < new[at][0]:
-                    new[at] = (v, back, letter)
-
-            options = self.choices(ch)
-            again = i and ch == token[i - 1]
-            for (a, b), node in beams.items():
-                for letter in options:
-                    s = state(letter)
-                    put((b, s), node[0] + cost[a][b][s] + (0.0 if letter == ch else self.SIGN) + (self.TWICE if repeats and again and s == b else 0.0), node, letter)
-                if repeats and again and b < OTHER and state(options[0] if options else ch) == b:
-                    put((a, b), node[0] + self.REPEAT, node, "")
-                if not options or ch in FILLERS or (not ch.isalpha() and i in (0, len(token) - 1)):
-                    put((a, b), node[0] + self.FILLER + (0.0 if ch in FILLERS or not options else 2.0), node, "")
+            options = [(x, state(x), 0.0 if x == ch else self.SIGN) for x in self.choices(ch)]
+            repeated = state(options[0][0] if options else ch) if repeats and again else -1
+            mute = self.FILLER + (0.0 if ch in FILLERS or not options else 2.0) if not options or ch in FILLERS or (i in (0, n - 1) and not ch.isalpha()) else None
+            for at, node in beams.items():
+                a, b = at
+                for letter, s, sign in options:
+                    v = node[0] + cost[a][b][s] + sign + (self.TWICE if repeated >= 0 and s == b else 0.0)
+                    if (b, s) not in new or v < new[b, s][0]:
+                        new[b, s] = (v, node, letter)
+                if repeated == b < OTHER and (at not in new or node[0] + self.REPEAT < new[at][0]):
+                    new[at] = (node[0] + self.REPEAT, node, "")
+                if mute is not None and (at not in new or node[0] + mute < new[at][0]):
+                    new[at] = (node[0] + mute, node, "")
             beams = new
+            i += 1
         if not beams:
             return token
         end = min(beams, key=lambda k: beams[k][0] + cost[k[0]][k[1]][EDGE])
@@ -206,6 +222,8 @@ class Channel:
 
     def restored(self, token: str) -> tuple[str, ...]:
         """The words of a token in lower case that is not plain letters, or has a doubled one, and what it stands for."""
+        if token.isalpha():
+            return tuple({token, *self._remember(token)})
         words = set(_LETTER_RUN.findall(token))
         if _LEGIBLE.search(token):
             # Signs that stand for no letter cost the same wherever they are: without them more tokens are alike.
