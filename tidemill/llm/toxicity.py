@@ -47,6 +47,7 @@ _LEGIBLE = re.compile("[^\\W\\d_]|[" + re.escape("".join(SIGNS)) + "]")
 #: What stands for nothing.
 _MUTE = re.compile("[\\W\\d_]")
 _DOUBLE = "|".join(c + c for c in LETTERS)
+_TWICE, _THRICE = re.compile(r"([a-z])\1"), re.compile(r"([a-z])\1\1")
 _AGAIN = re.compile(r"(.)\1")
 #: Marks at the ends of a token that stand for no letter.
 _ENDS = ".,;:?)\"'"
@@ -56,7 +57,7 @@ REMEMBERED = 150_000
 #: aren't decoded, and their own weights count. The share bounds how many there are.
 USUAL_ROWS, USUAL_SHARE = 25, 1 / 20_000
 #: Bytes of text that are read at once; a longer text goes alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 #: Ends a string that only its beginnings are known of.
 OPEN = "*"
 
@@ -143,6 +144,8 @@ class Channel:
     def decode(self, token: str, repeats: bool = True) -> str:
         """The word that a token stands for; in lower case. Linear in the token's length. Without repeats, each letter
         and sign that is written again counts again."""
+        if repeats and token.isalpha() and not _THRICE.search(token):
+            return self.undoubled(token)
         cost, n, i = self.cost, len(token), 0
         beams: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(EDGE, EDGE): (0.0, None, "")}
         while i < n:
@@ -186,6 +189,19 @@ class Channel:
             node = node[1]
         return "".join(reversed(out))
 
+    def undoubled(self, token: str) -> str:
+        """decode() of letters that stand twice at most: after the letter that follows a double both paths are in one
+        state, so each double is decided by itself."""
+        cost, out, done = self.cost, [], 0
+        for m in _TWICE.finditer(token):
+            i = m.start()
+            a, b = state(token[i - 1]) if i else EDGE, state(m[1])
+            n = state(token[i + 2]) if i + 2 < len(token) else EDGE
+            if self.REPEAT + cost[a][b][n] < cost[a][b][b] + self.TWICE + cost[b][b][n]:
+                out.append(token[done : i + 1])
+                done = i + 2
+        return "".join(out) + token[done:] if out else token
+
     def cost_of(self, word: str) -> float:
         """Of a word as the character model sees it, with its end."""
         a, b, total = EDGE, EDGE, 0.0
@@ -223,7 +239,7 @@ class Channel:
     def restored(self, token: str) -> tuple[str, ...]:
         """The words of a token in lower case that is not plain letters, or has a doubled one, and what it stands for."""
         if token.isalpha():
-            return tuple({token, *self._remember(token)})
+            return tuple({token, self.decode(token)})
         words = set(_LETTER_RUN.findall(token))
         if _LEGIBLE.search(token):
             # Signs that stand for no letter cost the same wherever they are: without them more tokens are alike.
