@@ -163,13 +163,56 @@ def test_op2_schedule_is_even(spark):
     from tidemill.llm import mixing
 
     targets = spark.createDataFrame([("a", 700.0), ("b", 290.0), ("c", 10.0)], "_s string, target double")
-    slots = {(r["_s"], r["_block"]): r["slot"] for r in mixing.schedule(spark, targets, 5000).collect()}
-    assert sorted(slots.values()) == list(range(5000))
+    slots = {(r["_s"], r["_block"]): r["slot"] for r in mixing.schedule(spark, targets, 5000, 0.2).collect()}
+    assert len(set(slots.values())) == len(slots) == 5000 and sum(x < 5000 for x in slots.values()) >= 4990
     for s, share in (("a", 0.7), ("b", 0.29), ("c", 0.01)):
         at = [slots[s, i] for i in range(sum(1 for k in slots if k[0] == s))]
-        assert at == sorted(at)
+        assert at == sorted(at) and len(at) == round(5000 * share)
         for n in (100, 777, 5000):
             assert abs(sum(x < n for x in at) - share * n) < 6
+        points = [t for t in range(5000) if {"a": 0, "b": 0.7, "c": 0.99}[s] <= t * mixing.GOLDEN % 1 < {"a": 0.7, "b": 0.99, "c": 1}[s]]
+        assert [x for x in at if x < 5000] == points[: len(at)]
+
+
+def test_op2_slots_decide(spark, rows):
+    """What is taken, and in which slot, against a walk over the schedule's points, block by block."""
+    from tidemill.llm import mixing
+
+    block, golden = 16, mixing.GOLDEN
+    out = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, DOCS), block=block).collect()]
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    target, streams = {}, defaultdict(list)
+    for r in out:
+        i = r["row"]["doc_id"]
+        s = next(x[3] for x in rows if x[0] == i)
+        target[s] = r["target"]
+        streams[s].append((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i))
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    words = {s: [i for _, i in sorted(streams[s]) for _ in range(size[i])] * 2 for s in order}
+    need = {s: -(-round(target[s]) // block) for s in order}
+    total, slots = sum(target.values()), -(-sum(target.values()) // block)
+    upto, walk = 0.0, []
+    bounds = []
+    for s in order:
+        bounds.append((s, upto / total, (upto + target[s]) / total))
+        upto += target[s]
+    for t in range(int(slots)):
+        walk += [(t, s) for s, lo, hi in bounds if lo <= t * golden % 1 < hi]
+    given = Counter(s for _, s in walk)
+    t = int(slots)
+    for s in order:
+        for _ in range(max(0, need[s] - given[s])):
+            walk.append((t, s))
+            t += 1
+    taken, first, at = Counter(), {}, Counter()
+    for t, s in walk:
+        if at[s] < need[s]:
+            for i in words[s][at[s] * block : min((at[s] + 1) * block, round(target[s]))]:
+                taken[i] += 1
+                first.setdefault(i, t)
+            at[s] += 1
+    assert {r["row"]["doc_id"]: (r["taken"], r["first_slot"]) for r in out} == {i: (taken[i], first.get(i)) for i in size}
+    assert all(r["first_slot"] == (r["slots"] or [None])[0] and len(r["slots"]) <= 2 for r in out)
 
 
 def shingle_set(t, k):
@@ -689,7 +732,7 @@ def test_op10_viterbi_is_best():
         return {word for cost, word in found if cost < least + 1e-9}
 
     rng = random.Random(7)
-    for token in ["1d1ot", "s.t.u.p.i.d", "l0s3r!", "tr4$h", "sc-um", "!!", "$$less"] + ["".join(rng.choices("stuildo10$.-", k=rng.randint(1, 8))) for _ in range(60)]:
+    for token in ["1d1ot", "s.t.u.p.i.d", "l0s3r!", "tr4$h", "sc-um", "!!", "$$less"] + ["".join(rng.choices("stuildo10$.-", k=rng.randint(1, 8))) for _ in range(60)] + ["".join(rng.choices("aselé", k=rng.randint(1, 9))) for _ in range(200)]:
         assert channel.decode(token) in best(token), token
 
 
