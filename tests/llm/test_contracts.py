@@ -602,6 +602,82 @@ def test_op8(spark, tmp_path):
     ]
 
 
+def test_op8_same_resource(spark):
+    """Dot segments, default ports, a rel with several tokens, refreshes and given redirects: aliases of a blocked page."""
+    from tidemill.llm import redirects
+
+    link = '<link rel="{}" href="{}">'
+    pages = [
+        (1, "http://n.net/x/y/z", link.format("nofollow Canonical", "../../a/./b/../c")),
+        (2, "http://n.net:80/a/c", link.format("canonical", "//B.com:80/de/1/..")),
+        (3, "https://n.net/a/c", None),
+        (4, "https://m.net:443", link.format("canonicals", "http://b.com/de/")),
+        (5, "https://m.net/q?x=/../y", link.format("canonical", "/..")),
+        (6, "https://m.net/", None),
+        (7, "http://r.net/old", None),
+        (8, "http://r.net/older", "<meta http-equiv=refresh content='1;url=./old'>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    moved = spark.createDataFrame([("http://r.net/./old", "http://s.b.com/de/x"), (None, "http://b.com/de/"), ("http://q.net/", None)], "from_url string, to_url string")
+    out = {r["_id"]: (r["verdict"], r["alias_of"]) for r in redirects.judge_urls(df, redirects.RULES, redirects=moved).collect()}
+    assert {i: v for i, (v, _) in out.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block"}
+    assert out[1][1] == out[2][1] == "http://b.com/de/" and out[5][1] == out[6][1] == out[4][1] == "https://m.net/" and out[3][1] is None
+    none = {r["_id"]: (r["rule"], r["verdict"]) for r in redirects.judge_urls(df, []).collect()}
+    assert set(none.values()) == {(None, "allow")}
+
+
+def test_op8_odd_rows(spark):
+    """Null ids and urls, repeated rows, a very long url and page, and names that the operator uses itself."""
+    from tidemill.llm import redirects
+
+    long = "http://b.com/" + "x" * 200_000
+    rows = [(None, None, None), (None, None, None), (None, "http://b.com/de/", ""), (1, long, "<p>" * 100_000), (1, long, "<link rel=canonical href=/de/1>"), (2, "://", None), (3, "http:///p", None), (4, "HTTP://B.COM/de/", None)]
+    df = spark.createDataFrame([(*r, "n", "h", 1, "a") for r in rows], "page_id long, url string, html string, _node string, host string, _id int, alias_of string")
+    out = redirects.judge_urls(df, redirects.RULES).collect()
+    assert len(out) == len(rows)
+    assert [r["verdict"] for r in out if r["_id"] == 1] == ["block", "block"]  # one url, so both are aliases of /de/1
+    assert sorted((r["host"], r["verdict"]) for r in out if r["_id"] is None) == [("", "allow"), ("", "allow"), ("b.com", "block")]
+    assert next(r for r in out if r["_id"] == 4)["rule"] == "com/de/"
+
+
+def test_op8_classes_of_all_pages(spark, sf_dir):
+    """Links drawn between the pages of the tables as redirects: classes and verdicts against union-find and plain rules."""
+    from tidemill.llm import redirects
+
+    rng = random.Random(8)
+    rules = [("block", "example.com", "/en/"), ("block", "example.org", "/de/"), ("allow", "example.net", "/en/7")]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [(r["page_id"], r["url"]) for r in pages.select("page_id", "url").collect()]
+    links = [(rng.choice(rows)[1], rng.choice(rows)[1]) for _ in range(len(rows) // 2)]
+    moved = spark.createDataFrame(links, "from_url string, to_url string")
+    out = {r["_id"]: (r["rule"], r["verdict"]) for r in redirects.judge_urls(pages, rules, redirects=moved).collect()}
+
+    def rule(u):
+        host, path = re.match(r"[^/?#]*", u.split("://", 1)[1])[0].lower(), re.match(r"[^/?#]*([^?#]*)", u.split("://", 1)[1])[1]
+        fit = [(len(h + p), v == "allow", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, None)
+
+    name = lambda u: u.split("#")[0]
+    parent = {name(u): name(u) for _, u in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(name(a))] = root(name(b))
+    linked = {name(u) for e in links for u in e}
+    verdicts = defaultdict(set)
+    for u in linked:
+        verdicts[root(u)].add(rule(u)[1])
+    want = {}
+    for i, u in rows:
+        got, v = rule(u), verdicts[root(name(u))] if name(u) in linked else set()
+        want[i] = (got[0], got[1] or ("allow" if "allow" in v else "block" if "block" in v else "allow"))
+    assert out == want and any(r is None and v == "block" for r, v in out.values())
+
+
 def test_components(spark):
     from tidemill.llm.graph import connected_components
 
@@ -624,6 +700,7 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         parent[y] = x
     assert got == {i: root(i) for i in list(parent)}
+    assert connected_components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).collect() == []
 
 
 def base_statistics(t):
