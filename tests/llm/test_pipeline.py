@@ -72,6 +72,47 @@ def test_class_stage_with_repeated_rows_and_null_ids(spark):
     assert sorted(out, key=repr) == sorted([rows[2], rows[4], rows[5]], key=repr)
 
 
+def test_class_stage_with_reused_ids(spark):
+    """Two classes whose least documents share an id: one document of each stays."""
+    import corpus_pipeline as p
+
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1)]
+    assert sorted(collect(p.one_of_each_class(spark, table(spark, rows), ""))) == sorted(rows[:2])
+
+
+def test_mixing_stage_order(spark, rows):
+    """Rows come in the order of their slots."""
+    import corpus_pipeline as p
+    from tidemill.llm import mixing
+
+    docs = table(spark, rows)
+    slots = {r["row"]["doc_id"]: r["slots"] for r in mixing.mix(docs).collect()}
+    seen, at = Counter(), []
+    for (i,) in p.mixed(spark, docs, "").select("doc_id").collect():
+        if slots[i]:
+            at.append(slots[i][min(seen[i], len(slots[i]) - 1)])
+            seen[i] += 1
+    assert at == sorted(at) and len(at) > 40
+
+
+def test_packing_stage_holds_the_ids(spark, rows):
+    import zlib
+
+    import corpus_pipeline as p
+
+    out = p.packed(spark, table(spark, rows), "").collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in out) and out
+
+
+def test_quality_stage_rejects_long_repetition(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a b c d " * 20, "en", "s", 1), (2, "a b c d " * 3, "en", "s", 1), (3, " ".join(f"w{i}" for i in range(60)), "en", "s", 1), (4, " ", "en", "s", 1), (5, None, "en", "s", 0)]
+    assert sorted(r[0] for r in collect(p.good_documents(spark, table(spark, rows), str(tmp_path)))) == [2, 3]
+
+
 def test_mixing_stage(spark, rows):
     import corpus_pipeline as p
     from tidemill.llm import mixing
@@ -160,11 +201,14 @@ def test_odd_rows(spark, odd, odd_labels):
     assert toxicity.score_toxicity(odd, odd_labels).count() == n
 
 
-def test_extra_columns_stay(spark, odd):
+def test_extra_columns_stay(spark, odd, odd_labels, tmp_path):
     import corpus_pipeline as p
 
     for stage in (p.without_repeated_lines, p.one_of_each_class, p.mixed):
         assert stage(spark, odd, "").columns == odd.columns
+    odd_labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.good_documents(spark, odd, str(tmp_path)).columns == odd.columns
+    assert p.packed(spark, odd, "").where("start = 0").count() == len(ODD)
 
 
 def test_deterministic_whatever_the_partitions(spark, rows):

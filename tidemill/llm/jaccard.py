@@ -179,8 +179,8 @@ def spanning_links(keys: list[int], right: list[bool], texts: list[str], classes
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(_id, _th, n_shingles, component_id) for each row of docs: the class that links of at least num/den Jaccard
-    similarity of k-word shingles make, named by its least id.
+    """(_id, _th, n_shingles, component_id, _class) for each row of docs: the class that links of at least num/den Jaccard
+    similarity of k-word shingles make, named by its least id; _class is its key, null for a row without shingles.
 
     Equal sets are one point. Sets meet in blocks by shared signatures; a block is named by its least key, so that all
     that meet anywhere meet in a block to which each set belongs a few times. First the set that names a block is
@@ -263,7 +263,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = C.written(rows.select("_id", "_th", "n_shingles", "_class"), "jaccard-rows")
     names = C.written(rows.where("_class IS NOT NULL").groupBy(F.col("_class").alias("_of")).agg(F.min("_id").alias("_name")), "jaccard-names")
     out = rows.join(names, F.col("_class") == F.col("_of"), "left")
-    return out.select("_id", "_th", "n_shingles", F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_name")).alias("component_id"))
+    return out.select("_id", "_th", "n_shingles", F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_name")).alias("component_id"), "_class")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
