@@ -25,15 +25,19 @@ def _same(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the forest doesn't reject. Neither length nor repetition alone rejects one here: short documents
-    are clean more often than not, and the forest sees how much a text repeats itself. Documents without words go."""
-    verdicts = quality.judge(docs, C.read(spark, sf_dir, "labels"), min_words=1, most_repeats=100)
+    """Documents that neither the rules nor the forest reject. Length alone rejects none here, as short documents are
+    clean more often than not; over half of the words in repeated windows reject one of 50 words or more. Null texts
+    and others without words go; null ids are judged as others. Repeated rows go or stay together, ties of the score
+    with the threshold stay, and an empty table gives an empty one."""
+    verdicts = quality.judge(docs, C.read(spark, sf_dir, "labels"), min_words=1, repeats_from=50)
     gone = verdicts.where("NOT kept").select("_id", "_th").distinct()
     return _same(_keyed(docs), gone, "left_anti").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share. A document of which nothing stays is kept, empty."""
+    """Documents without the lines that ten or more rows share, with n_chars of what stays. Null texts stay null, and a
+    document of which no line stays is kept, empty. Repeated rows count as documents of their own; an empty table gives
+    an empty one."""
     out = lines.drop_repeated_lines(docs)
     text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("kept"))
     changed = F.struct(*(text.alias(c) if c == "text" else (F.length("kept").cast("long") if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
@@ -41,31 +45,38 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate class (five-word shingles, similarity of 0.8 or more); documents
-    without words are classes of their own. Of rows with one id, one stays."""
+    """The document of least id (null ids last, ties by the text's hash) of each near-duplicate class: five-word
+    shingles, similarity of 0.8 or more. Rows without words are classes of their own with the rows of their id and text.
+    Of repeated rows the least one stays; an empty table gives an empty one."""
     classes = jaccard.similarity_classes(docs, k=5, num=80, den=100)
-    first = classes.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_th").agg(F.min("n_shingles").alias("_n"))
-    first = first.withColumn("_one", F.row_number().over(Window.partitionBy("_id").orderBy("_th"))).where("_one = 1 OR _id IS NULL").select("_id", "_th")
-    kept = _same(_keyed(docs), first, "inner")
-    return kept.withColumn("_one", F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))).where("_one = 1").select("row.*")
+    order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_th")
+    first = classes.where("_class IS NOT NULL").groupBy("_class").agg(F.min(order).alias("_f")).select("_f._id", "_f._th")
+    first = first.union(classes.where("_class IS NULL").select("_id", "_th")).distinct()
+    kept = _same(_keyed(docs), first, "left_semi")
+    return kept.groupBy("_id", "_th").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; one of no words stays as it is."""
+    """Each document as often as the mix takes it, to the nearest whole number, in the order of the slots that take it;
+    one of no words (null texts too) stays as it is, at a place that a hash gives it. Rows with one id and text, null
+    ids too, are alike and share what the mix takes of them. An empty table gives an empty one."""
     taken = mixing.mix(docs.select("doc_id", "text", "source", F.xxhash64(C.text_of("text")).alias("_th")), carry=("doc_id", "_th"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = taken.select(F.col("row.doc_id").cast("long").alias("_id"), F.col("row._th").alias("_th"), times.alias("_times"))
-    # Rows with one id and text are alike: they share what the mix takes of them.
-    shared = times.groupBy("_id", "_th").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"))
+    slots = [F.get("slots", F.lit(i)).alias(f"_slot{i}") for i in (0, 1)]
+    times = taken.select(F.col("row.doc_id").cast("long").alias("_id"), F.col("row._th").alias("_th"), times.alias("_times"), *slots)
+    shared = times.groupBy("_id", "_th").agg(F.sum("_times").alias("_all"), F.count("*").alias("_rows"), F.min("_slot0").alias("_slot0"), F.min("_slot1").alias("_slot1"))
     rows = _same(_keyed(docs), shared, "inner")
     rows = rows.withColumn("_at", F.when(F.col("_rows") == 1, 0).otherwise(F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0))) - 1))
     times = (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_at") < F.col("_all") % F.col("_rows")).cast("int")).cast("int")
-    return rows.withColumn("_times", times).where("_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    rows = rows.withColumn("_times", times).where("_times > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_turn"))
+    slot = F.coalesce(F.when(F.col("_turn") == 1, F.col("_slot1")), "_slot0", F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << 20)))
+    return rows.orderBy(slot).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 4096 tokens."""
-    return packing.pack(docs)
+    """The pieces of sequences of 4096 tokens, with the ids that they hold (little-endian, 32 bits). Null and empty texts
+    are an end alone, rows of one id are documents of their own, and an empty table gives an empty one."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [
