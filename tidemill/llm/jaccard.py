@@ -23,9 +23,9 @@ FANOUT = 16
 #: Points to a page of a block, and shingles: two pages are one task's work.
 PAGE, PAGE_SHINGLES = 512, 2_000_000
 #: Word hashes that a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Keys of sets that a task remembers to have signed; a forgotten one is signed again.
-MOST_SEEN = 500_000
+MOST_SEEN = 250_000
 SIGNATURE_MASK = (1 << 48) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -215,9 +215,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     points = C.written(src.mapInArrow(measured, "_id long, _th long, n_shingles long, _key long, _marks array<long>"), "jaccard-points")
     marks = points.select(F.explode("_marks").alias("_mark"), "_key")
-    # Tables that are joined are written: so both sides of a join are plain shuffles, and Spark can split a heavy key.
+    # Marks are shuffled at all sizes alike. Tables that are joined are written: so both sides of a join are plain shuffles, and Spark can split a heavy key.
     shared = C.written(marks.groupBy("_mark").agg(F.min("_key").alias("_block"), F.max("_key").alias("_most")).where("_block != _most").select("_mark", "_block"), "jaccard-marks")
-    met = C.written(marks.join(shared, "_mark").where("_key != _block").select("_key", "_block").distinct(), "jaccard-met")
+    met = C.written(marks.hint("merge").join(shared, "_mark").where("_key != _block").select("_key", "_block").distinct(), "jaccard-met")
 
     points = points.drop("_marks")
     one = C.written(points.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("n_shingles").alias("_n")), "jaccard-sets")

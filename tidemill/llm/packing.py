@@ -22,10 +22,10 @@ LENGTH = 4096
 END_ID = 2
 #: Documents to a group on average. A group is packed in one task; this bounds its memory whatever the input.
 GROUP_DOCS = 8192
-#: Words whose ids a worker remembers, some 150 MB.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers, some 80 MB.
+CACHE_WORDS = 500_000
 #: Bytes of text that are encoded at once; a longer text goes alone.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def default_tokenizer() -> str:

@@ -52,12 +52,12 @@ _AGAIN = re.compile(r"(.)\1")
 #: Marks at the ends of a token that stand for no letter.
 _ENDS = ".,;:?)\"'"
 #: Disguised tokens whose restorations a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Words with a doubled letter in so many rows, and so large a share of the rows of all such words, are spelled so: they
 #: aren't decoded, and their own weights count. The share bounds how many there are.
 USUAL_ROWS, USUAL_SHARE = 25, 1 / 20_000
 #: Bytes of text that are read at once; a longer text goes alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 20
 #: Ends a string that only its beginnings are known of.
 OPEN = "*"
 
