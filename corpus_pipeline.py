@@ -57,8 +57,9 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number, in the order of the slots that take it;
-    one of no words (null texts too) stays as it is, at a place that a hash gives it. Rows with one id and text, null
+    """Each document as often as the mix takes it, to the nearest whole number; a hash deals rows to partitions, and each
+    is a mix by itself in the order of the slots that take the rows. One of no words (null texts too) stays as it is, at
+    a place that a hash gives it. Rows with one id and text, null
     ids too, are alike and share what the mix takes of them. An empty table gives an empty one."""
     taken = mixing.mix(docs.select("doc_id", "text", "source", F.xxhash64(C.text_of("text")).alias("_th")), carry=("doc_id", "_th"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
@@ -70,7 +71,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_at") < F.col("_all") % F.col("_rows")).cast("int")).cast("int")
     rows = rows.withColumn("_times", times).where("_times > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_turn"))
     slot = F.coalesce(F.when(F.col("_turn") == 1, F.col("_slot1")), "_slot0", F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << 20)))
-    return rows.orderBy(slot).select("row.*")
+    return rows.sortWithinPartitions(slot).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
