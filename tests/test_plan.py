@@ -1,4 +1,4 @@
-"""The fetch plan over small tables, as a batch and as a stream; robots, sources, settings."""
+"""The retrieval plan over small tables, as a batch and as a stream; robots, sources, settings."""
 
 import gzip
 import http.server
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.policy import Policy
-from tidemill.plans import fetch
+from tidemill.plans import retrieval
 from tidemill.sources import config, files, http as pinned
 
 HTML = ["text/html"]
@@ -84,12 +84,12 @@ def requests(spark):
 
 def test_plan(spark, world):
     dns, responses, robots = world
-    out = {r.request_id: r for r in fetch.run(requests(spark), dns, responses, settings=fetch.Settings(cap_bytes=4000, length_cap=1000)).collect()}
+    out = {r.request_id: r for r in retrieval.run(requests(spark), dns, responses, settings=retrieval.Settings(cap_bytes=4000, length_cap=1000)).collect()}
     assert sorted(out) == sorted(REQUESTS)
     want = {3: "bad_response", 4: "unsupported_encoding", 9: "unsupported_content_type", 10: "too_large", 11: "http_error", 13: "blocked_target", 14: "too_many_redirects", 15: "blocked_target", 16: "blocked_target", 17: "dns_failure", 18: "dns_failure", 19: "invalid_argument", 23: "http_error", 24: "network_error", 25: "invalid_argument"}
     assert {i: r.error_code for i, r in out.items() if r.error_code} == want
     assert out[1].text.startswith("# Hi\n\nword word") and out[1].total == 6 + 249
-    assert out[2].text.startswith("# Hi\n\nword word word\n\n[More content available. Call fetch again with start_index=20")
+    assert out[2].text.startswith("# Hi\n\nword word word\n\n" + text.MORE + "20")
     assert out[5].text == out[6].text == "café" and out[7].text == "x" and out[8].text == "<p>x</p>"
     assert out[12].text == "URL: http://b.example/end\nStatus: 200\n\nend" and out[12].redirects == 2
     assert out[13].text == "error[blocked_target]: IP address is not public (private)"
@@ -102,8 +102,8 @@ def test_plan(spark, world):
 
 def test_robots_and_allowlist(spark, world):
     dns, responses, robots = world
-    s = fetch.Settings(policy=Policy(private_enabled=True, private_hosts=("private.example",)), enforce_robots=True)
-    out = {r.request_id: r for r in fetch.run(requests(spark), dns, responses, robots, s).collect()}
+    s = retrieval.Settings(policy=Policy(private_enabled=True, private_hosts=("private.example",)), enforce_robots=True)
+    out = {r.request_id: r for r in retrieval.run(requests(spark), dns, responses, robots, s).collect()}
     assert out[8].error_code == "robots_disallowed" and out[8].text.endswith("robots.txt disallows fetching /plain")
     assert out[1].error_code is None and out[15].error_code == "network_error" and out[13].error_code == "blocked_target"
 
@@ -115,13 +115,13 @@ def test_stream_equals_batch(spark, world, tmp_path):
     requests(spark).coalesce(1).write.json(f"{tmp_path}/in")
     stream.serve(stream.read_requests(spark, f"{tmp_path}/in"), dns, responses, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     key = lambda df: sorted(map(tuple, df.select("request_id", "error_code", "text").collect()))
-    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(fetch.run(requests(spark), dns, responses))
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(retrieval.run(requests(spark), dns, responses))
 
 
 def test_partitioning_does_not_matter(spark, world):
     dns, responses, _ = world
     key = lambda df: sorted((r.request_id, r.text) for r in df.collect())
-    assert key(fetch.run(requests(spark).repartition(7), dns, responses)) == key(fetch.run(requests(spark).coalesce(1), dns, responses))
+    assert key(retrieval.run(requests(spark).repartition(7), dns, responses)) == key(retrieval.run(requests(spark).coalesce(1), dns, responses))
 
 
 class Handler(http.server.BaseHTTPRequestHandler):
@@ -149,15 +149,15 @@ def test_http_source(spark):
         assert out["/"].status == 200 and bytes(out["/"].body) == b"<p>hello</p>" and out["/"].headers["content-type"] == HTML
         assert out["/r"].headers["location"] == ["/x"] and out["/big"].error_code == "too_large" and out["http://name.example:1/"].error_code == "network_error"
         table = spark.createDataFrame([(t["url"], t["addresses"]) for t in targets], "url string, addresses array<string>")
-        assert {r.url: r.status for r in pinned.fetch_targets(table, cap=50).collect()} == {r.url: r.status for r in out.values()}
+        assert {r.url: r.status for r in pinned.responses_of(table, cap=50).collect()} == {r.url: r.status for r in out.values()}
     finally:
         server.shutdown()
 
 
 def test_config():
-    c = config.load({"FETCH_TIMEOUT_MS": "5", "FETCH_ALLOW_LOOPBACK": "YES", "FETCH_ALLOW_PRIVATE_HOSTS": "A.b, c.", "FETCH_ROBOTS": "Enforce", "FETCH_LOG": "debug"})
+    c = config.load({"TIDEMILL_TIMEOUT_MS": "5", "TIDEMILL_ALLOW_LOOPBACK": "YES", "TIDEMILL_ALLOW_PRIVATE_HOSTS": "A.b, c.", "TIDEMILL_ROBOTS": "Enforce", "TIDEMILL_LOG": "debug"})
     assert (c.timeout_ms, c.allow_loopback, c.private_hosts, c.robots, c.log) == (5, True, ("a.b", "c"), "enforce", "debug")
-    for name, value in {"FETCH_TIMEOUT_MS": "0", "FETCH_MAX_BYTES": "x", "FETCH_ALLOW_LOOPBACK": "maybe", "FETCH_ALLOW_PRIVATE_HOSTS": "1.2.3.4", "FETCH_ROBOTS": "no", "FETCH_LOG": "Debug"}.items():
+    for name, value in {"TIDEMILL_TIMEOUT_MS": "0", "TIDEMILL_MAX_BYTES": "x", "TIDEMILL_ALLOW_LOOPBACK": "maybe", "TIDEMILL_ALLOW_PRIVATE_HOSTS": "1.2.3.4", "TIDEMILL_ROBOTS": "no", "TIDEMILL_LOG": "Debug"}.items():
         with pytest.raises(config.ConfigError, match=name):
             config.load({name: value})
 

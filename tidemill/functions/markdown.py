@@ -6,6 +6,7 @@ is lazy: line breaks, prefixes and emphasis are written when content follows the
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -98,7 +99,7 @@ class Writer:
 
     def reset(self) -> None:
         self.out: list[str] = []
-        self.bytes = 0
+        self.bytes = self.chars = 0
         self.breaks, self.space = 0, False
         self.started = self.filled = False  # the line has its prefix; has content
         self.marker = self.heading = ""
@@ -113,7 +114,10 @@ class Writer:
     def emit(self, s: str) -> None:
         if not s:
             return
-        n = len(s) if s.isascii() else len(s.encode("utf-8", "replace"))
+        n = len(s)
+        self.chars += n
+        if not s.isascii():
+            n = len(s.encode("utf-8", "replace"))
         self.out.append(s)
         self.step_bytes += n
         if self.step_bytes > STEP_BYTES:
@@ -139,16 +143,10 @@ class Writer:
     def begin(self) -> None:
         """Whatever must stand before content: breaks, the line's prefix, a space, pending emphasis."""
         if self.table.cell is None:
-            if self.breaks:
-                if self.out:
-                    self.emit("\n" * self.breaks)
-                self.breaks = 0
-                self.started = self.filled = False
-            if not self.started:
-                self.emit(self.prefix())
-                self.started = True
+            self.emit(self.lead())
+            return
         if self.space:
-            if self.has_content():
+            if self.table.cell_bytes:
                 self.put(" ")
             self.space = False
         if self.frames and not self.frames[-1][3]:
@@ -157,10 +155,35 @@ class Writer:
                     f[3] = True
                     self.put(f[1])
 
+    def lead(self) -> str:
+        """begin() outside of cells, as the text that it writes."""
+        out = ""
+        if self.breaks:
+            if self.out:
+                out = "\n" * self.breaks
+            self.breaks = 0
+            self.started = self.filled = False
+        if not self.started:
+            out += self.prefix()
+            self.started = True
+        if self.space:
+            if self.filled:
+                out += " "
+            self.space = False
+        if self.frames and not self.frames[-1][3]:
+            for f in self.frames:
+                if not f[3]:
+                    f[3] = True
+                    out += f[1]
+        return out
+
     def has_content(self) -> bool:
         return self.filled if self.table.cell is None else bool(self.table.cell_bytes)
 
     def prefix(self) -> str:
+        if not (self.lists or self.quotes):  # markers and headings alone
+            lead, self.marker, self.heading = self.marker + self.heading, "", ""
+            return lead
         depth = min(len(self.lists), MOST_DRAWN + 1)
         lead = "> " * min(self.quotes, MOST_DRAWN) + "  " * max(0, depth - 1)
         item = self.marker or ("  " if depth and not self.heading else "")
@@ -169,12 +192,16 @@ class Writer:
         return lead
 
     def content(self, s: str) -> None:
-        self.begin()
-        self.put(s)
+        if self.table.cell is None:
+            self.emit(self.lead() + s)
+        else:
+            self.begin()
+            self.put(s)
         self.filled = True
 
     def block(self, breaks: int) -> None:
-        self.close_frames(0)
+        if self.frames:
+            self.close_frames(0)
         if self.table.cell is not None:
             self.space = True
         else:
@@ -225,8 +252,7 @@ class Writer:
             return
         if self.filled and s[0].isspace():
             self.space = True
-        self.begin()
-        self.emit(" ".join(words))
+        self.emit(self.lead() + " ".join(words))
         self.filled = True
         if s[-1].isspace():
             self.space = True
@@ -574,31 +600,43 @@ CLOSERS = {
 }
 
 
-def to_markdown(html: str, base: str | None) -> str:
-    """The page as markdown. Raises LimitError for a page beyond the caps."""
-    if too_many_attributes(html):
+def to_markdown(html: str, base: str | None, enough: int | None = None) -> str:
+    """The page as markdown. Raises LimitError for a page beyond the caps.
+
+    With `enough`, it stops where so many characters are certain, and returns these or more of the whole: nothing that
+    was written changes once a landmark is open or the holdback is over. What is behind the step that it stops in isn't
+    looked at, so caps that only break there don't matter."""
+    if enough is None and too_many_attributes(html):
         raise LimitError
-    w = Writer(base)
+    w, most, position = Writer(base), math.inf if enough is None else enough, 0
     for kind, *rest in tokens(html):
         if kind == "text":
             w.text(*rest)
+            if w.chars >= most and w.stage != "held":
+                if too_many_attributes(html[: (position // STEP_CHARS + 1) * STEP_CHARS]):
+                    raise LimitError
+                return "".join(w.out)
         elif kind == "start":
+            position = rest[2]
             w.start(*rest)
         else:
             w.end(*rest)
+    if enough is not None and too_many_attributes(html):
+        raise LimitError
     return w.finish()
 
 
-def _convert(html: pd.Series, base: pd.Series) -> pd.DataFrame:
+def _convert(html: pd.Series, base: pd.Series, enough: pd.Series) -> pd.DataFrame:
     out = []
-    for h, b in zip(html, base, strict=True):
+    for h, b, n in zip(html, base, enough, strict=True):
         try:
-            out.append((None, None) if h is None else (to_markdown(h, b), None))
+            out.append((None, None) if h is None else (to_markdown(h, b, None if pd.isna(n) else int(n)), None))
         except LimitError:
             out.append((None, "converter_limit"))
     return pd.DataFrame(out, columns=["markdown", "error"])
 
 
-def markdown_of(html: Column, base: Column) -> Column:
-    """struct<markdown, error>: one Arrow-batched call for each page; project it once and select its fields."""
-    return F.pandas_udf(_convert, "markdown string, error string")(html, base)
+def markdown_of(html: Column, base: Column, enough: Column | None = None) -> Column:
+    """struct<markdown, error>: one Arrow-batched call for each page; project it once and select its fields. Where
+    enough isn't null, the page is converted as far as that many characters need."""
+    return F.pandas_udf(_convert, "markdown string, error string")(html, base, F.lit(None).cast("long") if enough is None else enough.cast("long"))

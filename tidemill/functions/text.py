@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, as a class for Java's and RE2's regular expressions.
 WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 DEFAULT_LENGTH = 5000
+#: Fixed value: the start of the note under a window that isn't the last.
+MORE = "[More content available. Call fetch again with start_index="
 
 
 def window(text: Column, start: Column, length: Column) -> Column:
@@ -38,7 +40,7 @@ def render(w: Column, clamp: Column | None = None) -> Column:
     clamp_note = F.when(clamp.isNotNull(), F.concat(F.lit("[max_length was reduced to "), s(clamp), F.lit(" characters, the maximum.]")))
     beyond = w["total"].isNotNull() & (w["start"] >= w["total"])
     empty_note = F.concat(F.lit("[No content at start_index="), s(w["start"]), F.lit(": the content is "), s(w["total"]), F.lit(" characters long.]"))
-    place = F.when(w["more"], F.concat(F.lit("[More content available. Call fetch again with start_index="), s(w["start"] + w["returned"]), F.lit(" to continue.]"))).when(
+    place = F.when(w["more"], F.concat(F.lit(MORE), s(w["start"] + w["returned"]), F.lit(" to continue.]"))).when(
         (w["start"] > 0) & w["total"].isNotNull(), F.concat(F.lit("[Total length: "), s(w["total"]), F.lit(" characters.]"))
     )
     notes = F.concat_ws("\n", clamp_note, place)

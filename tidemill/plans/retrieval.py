@@ -99,8 +99,10 @@ def answered(df: DataFrame, responses: DataFrame, cap: int) -> DataFrame:
     return bound(df, error=error).drop("_url", "headers", "declared", "large_head")
 
 
-def converted(df: DataFrame, cap: int) -> DataFrame:
-    """Adds content: the body unzipped, decoded and, for HTML that isn't asked for raw, converted."""
+def converted(df: DataFrame, settings: Settings) -> DataFrame:
+    """Adds content: the body unzipped, decoded and, for HTML that isn't asked for raw, converted as far as the window
+    needs."""
+    cap, upto = settings.cap_bytes, F.col("start_index") + text.effective_length(F.col("max_length"), settings.length_cap) + 1
     good, zipped = F.col("error").isNull(), F.col("coding") == "gzip"
     df = df.withColumn("_z", content.unzipped(F.when(good & zipped, F.col("body")), cap))
     df = df.withColumn("_bytes", F.when(good, F.when(zipped, F.col("_z.body")).otherwise(F.coalesce("body", F.lit(b"")))))
@@ -109,7 +111,7 @@ def converted(df: DataFrame, cap: int) -> DataFrame:
     df = df.withColumn("_text", content.decoded(F.col("_bytes"), F.col("charset")))
     df = df.withColumn("_page", ~F.col("raw") & ((F.col("kind") == "html") | ((F.col("kind") == "unknown") & content.looks_like_html(F.substring("_text", 1, 512)))))
     html = F.when(F.col("kind") == "unknown", F.regexp_replace("_text", r"^\x{FEFF}", "")).otherwise(F.col("_text"))
-    df = df.withColumn("_md", markdown_of(F.when(F.col("_page"), html), F.col("current")))
+    df = df.withColumn("_md", markdown_of(F.when(F.col("_page"), html), F.col("current"), upto))
     error = F.coalesce(
         F.col("error"),
         _failure(F.col("_z.error") == "too_large", "too_large", errors.TOO_LARGE),
@@ -140,7 +142,7 @@ def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataF
         error = F.coalesce(error, _failure(~robots_rules.allowed(F.col("records"), F.lit(settings.agent), path), "robots_disallowed", F.concat(F.lit("robots.txt disallows fetching "), path)))
     df = df.select("request_id", "url", "max_length", "start_index", "raw", F.col("url").alias("current"), F.lit(0).alias("redirects"), error.alias("error"))
     df = followed(df, redirect_edges(responses, dns, settings))
-    df = converted(answered(df, responses, settings.cap_bytes), settings.cap_bytes)
+    df = converted(answered(df, responses, settings.cap_bytes), settings)
     df = df.withColumn("window", text.window(F.col("content"), F.col("start_index"), text.effective_length(F.col("max_length"), settings.length_cap)))
     shown = text.with_header(text.render(F.col("window"), text.clamped_to(F.col("max_length"), settings.length_cap)), F.col("redirects"), urls.shown(F.col("current")), F.col("status"))
     ok = F.col("error").isNull()
@@ -160,6 +162,6 @@ def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataF
 
 def render_pages(pages: DataFrame, start: int = 0, length: int = text.DEFAULT_LENGTH) -> DataFrame:
     """pages (page_id, url, html) to page_id, url, returned, more, total, text: the plan's end for pages at hand."""
-    md = pages.select("page_id", "url", markdown_of(F.col("html"), F.col("url")).alias("_md"))
+    md = pages.select("page_id", "url", markdown_of(F.col("html"), F.col("url"), F.lit(start + length + 1)).alias("_md"))
     w = md.select("page_id", "url", text.window(F.col("_md.markdown"), F.lit(start), F.lit(length)).alias("_w"))
     return w.select("page_id", "url", "_w.returned", "_w.more", "_w.total", text.render(F.col("_w")).alias("text"))

@@ -15,7 +15,7 @@ from .functions.bind import bound
 from .functions.html import attribute_peak
 from .functions.markdown import DROPPED, markdown_of
 from .operators import policy, redirects, robots, stats
-from .plans import fetch
+from .plans import retrieval
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,18 +77,18 @@ def page_markdown(spark, sf_dir):
 RENDERED = """
 SELECT page_id, url, least(length(markdown), {n})::BIGINT AS returned, length(markdown) > {n} AS more,
   CASE WHEN length(markdown) <= {n} THEN length(markdown)::BIGINT END AS total,
-  substr(markdown, 1, {n}) || CASE WHEN length(markdown) > {n} THEN chr(10) || chr(10) || '[More content available. Call fetch again with start_index={n} to continue.]' ELSE '' END AS text
+  substr(markdown, 1, {n}) || CASE WHEN length(markdown) > {n} THEN chr(10) || chr(10) || '{more}{n} to continue.]' ELSE '' END AS text
 FROM md"""
 
 
-@query("WITH " + ARTICLES + RENDERED.format(n=5000))
+@query("WITH " + ARTICLES + RENDERED.format(n=5000, more=text.MORE))
 def page_render_first(spark, sf_dir):
-    return fetch.render_pages(read(spark, sf_dir, "pages"))
+    return retrieval.render_pages(read(spark, sf_dir, "pages"))
 
 
-@query("WITH " + ARTICLES + RENDERED.format(n=300))
+@query("WITH " + ARTICLES + RENDERED.format(n=300, more=text.MORE))
 def page_render_short(spark, sf_dir):
-    return fetch.render_pages(read(spark, sf_dir, "pages"), length=300)
+    return retrieval.render_pages(read(spark, sf_dir, "pages"), length=300)
 
 
 SITE = r"regexp_extract(url, '^([^:]*://[^/?#]*)', 1)"
@@ -100,10 +100,10 @@ one AS (SELECT regexp_replace(url, '#.*$', '') AS u, min(page_id) AS page_id FRO
 SELECT p.page_id AS request_id, p.url, p.url AS final_url, 200 AS status, 0 AS redirects, NULL::VARCHAR AS error_code,
   least(length(m.markdown), 2000)::BIGINT AS returned, length(m.markdown) > 2000 AS more,
   CASE WHEN length(m.markdown) <= 2000 THEN length(m.markdown)::BIGINT END AS total,
-  substr(m.markdown, 1, 2000) || CASE WHEN length(m.markdown) > 2000 THEN chr(10) || chr(10) || '[More content available. Call fetch again with start_index=2000 to continue.]' ELSE '' END AS text
-FROM pages p JOIN one ON regexp_replace(p.url, '#.*$', '') = one.u JOIN md m ON m.page_id = one.page_id"""
+  substr(m.markdown, 1, 2000) || CASE WHEN length(m.markdown) > 2000 THEN chr(10) || chr(10) || 'MORE2000 to continue.]' ELSE '' END AS text
+FROM pages p JOIN one ON regexp_replace(p.url, '#.*$', '') = one.u JOIN md m ON m.page_id = one.page_id""".replace("MORE", text.MORE)
 )
-def fetch_pages(spark, sf_dir):
+def retrieved_pages(spark, sf_dir):
     """The whole plan over the pages, as if each were asked for by its url."""
     pages = read(spark, sf_dir, "pages")
     requests = pages.select(F.col("page_id").alias("request_id"), F.to_json(F.struct("url", F.lit(2000).alias("max_length"))).alias("args"))
@@ -112,7 +112,7 @@ def fetch_pages(spark, sf_dir):
     first = pages.groupBy(F.regexp_replace("url", "#.*$", "").alias("url")).agg(F.min_by("html", "page_id").alias("html"))
     head = F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html; charset=utf-8")))
     responses = first.select("url", F.lit(200).alias("status"), head.alias("headers"), F.col("html").cast("binary").alias("body"))
-    return fetch.run(requests, dns, responses)
+    return retrieval.run(requests, dns, responses)
 
 
 @query(r"""
@@ -147,7 +147,7 @@ def dropped_subtrees(spark, sf_dir):
 
 TOKENS = r"len(regexp_extract_all({}, '[^\x09-\x0D\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'))"
 QUALITY = (
-    "WITH " + ARTICLES + ", w AS (" + RENDERED.format(n=5000).replace("FROM md", ", html, markdown FROM md") + "), q AS (SELECT page_id, "
+    "WITH " + ARTICLES + ", w AS (" + RENDERED.format(n=5000, more=text.MORE).replace("FROM md", ", html, markdown FROM md") + "), q AS (SELECT page_id, "
     + TOKENS.format("html") + " AS raw_tokens, " + TOKENS.format("markdown") + " AS full_tokens, " + TOKENS.format("text") + " AS window_tokens FROM w)"
 )
 
@@ -217,9 +217,9 @@ def doc_page_roundtrip(spark, sf_dir):
 WITH w AS (SELECT doc_id, s, length(text) AS n, least(200, greatest(0, length(text) - s)) AS r, length(text) > s + 200 AS more FROM documents, (SELECT unnest([0, 10, 1000000]) AS s))
 SELECT doc_id, s AS start, CASE
   WHEN s >= n THEN '[No content at start_index=' || s || ': the content is ' || n || ' characters long.]'
-  WHEN more THEN chr(10) || chr(10) || '[More content available. Call fetch again with start_index=' || (s + r) || ' to continue.]'
+  WHEN more THEN chr(10) || chr(10) || 'MORE' || (s + r) || ' to continue.]'
   WHEN s > 0 THEN chr(10) || chr(10) || '[Total length: ' || n || ' characters.]' ELSE '' END AS footer FROM w
-""")
+""".replace("MORE", text.MORE))
 def render_footer(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (0, 10, 1_000_000)))).alias("start"), "text")
     d = d.withColumn("w", text.window(F.col("text"), F.col("start"), F.lit(200)))

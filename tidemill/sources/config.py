@@ -65,7 +65,7 @@ def _hosts(name: str, value: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def load(env: Mapping[str, str] | None = None, prefix: str = "FETCH_") -> Config:
+def load(env: Mapping[str, str] | None = None, prefix: str = "TIDEMILL_") -> Config:
     env = os.environ if env is None else env
     fields = {
         "TIMEOUT_MS": ("timeout_ms", _positive),

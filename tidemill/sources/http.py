@@ -5,7 +5,7 @@
 
 Redirects are not followed and proxies not used: the plan checks each hop before the next one is fetched. A failure is
 a row with an error, never an exception. Lists of targets are dealt over partitions; for tables of targets use
-fetch_targets(), which does the same per row.
+responses_of(), which does the same per row.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ HEADERS = {"Accept-Encoding": "gzip", "Accept": "text/html,text/plain;q=0.9,*/*;
 SCHEMA = "url string, status int, headers map<string,array<string>>, body binary, error_code string, error_message string"
 
 
-def fetch(url: str, addresses: list[str], timeout: float, cap: int) -> tuple:
+def get(url: str, addresses: list[str], timeout: float, cap: int) -> tuple:
     """One GET, from the first of the addresses that connects; the body up to cap bytes."""
     fail = lambda code, message: (url, None, None, None, code, message)
     parts, deadline = urlsplit(url), time.monotonic() + timeout
@@ -88,7 +88,7 @@ class PinnedHttpReader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         for t in partition.targets:
-            yield fetch(t["url"], t["addresses"], self.timeout, self.cap)
+            yield get(t["url"], t["addresses"], self.timeout, self.cap)
 
 
 class PinnedHttpSource(DataSource):
@@ -103,11 +103,11 @@ class PinnedHttpSource(DataSource):
         return PinnedHttpReader(self.options)
 
 
-def fetch_targets(targets: DataFrame, timeout: float = 30.0, cap: int = 10 * 1024 * 1024) -> DataFrame:
+def responses_of(targets: DataFrame, timeout: float = 30.0, cap: int = 10 * 1024 * 1024) -> DataFrame:
     """The responses for a table of targets (url, addresses array<string>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([fetch(u, list(a), timeout, cap) for u, a in zip(b["url"], b["addresses"], strict=True)], columns=["url", "status", "headers", "body", "error_code", "error_message"]).astype({"status": "Int32"})
+            yield pd.DataFrame([get(u, list(a), timeout, cap) for u, a in zip(b["url"], b["addresses"], strict=True)], columns=["url", "status", "headers", "body", "error_code", "error_message"]).astype({"status": "Int32"})
 
     return targets.select("url", "addresses").mapInPandas(run, SCHEMA)

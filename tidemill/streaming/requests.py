@@ -1,11 +1,11 @@
-"""A stream of requests through the fetch plan: stateless, so append mode needs no watermark."""
+"""A stream of requests through the retrieval plan: stateless, so append mode needs no watermark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import fetch
+from ..plans import retrieval
 
 
 def read_requests(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -13,11 +13,11 @@ def read_requests(spark: SparkSession, path: str, files_per_trigger: int = 16) -
     return spark.readStream.schema("request_id long, args string").option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def serve(requests: DataFrame, dns: DataFrame, responses: DataFrame, out: str, checkpoint: str, robots: DataFrame | None = None, settings: fetch.Settings | None = None) -> StreamingQuery:
+def serve(requests: DataFrame, dns: DataFrame, responses: DataFrame, out: str, checkpoint: str, robots: DataFrame | None = None, settings: retrieval.Settings | None = None) -> StreamingQuery:
     """Answers all requests that are there, and stops; results go to Parquet, each once. The lookups are static tables,
     read anew by each batch."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        fetch.run(batch, dns, responses, robots, settings).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        retrieval.run(batch, dns, responses, robots, settings).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
