@@ -8,6 +8,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import text
 from tidemill.operators.policy import Policy
 from tidemill.plans import retrieval
 from tidemill.sources import config, files, http as pinned

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,6 +57,13 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+@cache
+def _long(n: int) -> Column:
+    """Constants and results are made once: a plan meets the ranges several times."""
+    return F.lit(n).cast("long")
+
+
+@cache
 def _hit(kind: str, category: str) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"))
 
@@ -64,7 +71,7 @@ def _hit(kind: str, category: str) -> Column:
 def classify_v4(ip: Column) -> Column:
     """struct<kind, category> of an IPv4 address as a long, null for a public one."""
     nets = [(ipaddress.ip_network(r), k, c) for r, k, c in V4_RANGES]
-    return F.coalesce(*(F.when(ip.bitwiseAND(F.lit(int(n.netmask)).cast("long")) == int(n.network_address), _hit(k, c)) for n, k, c in nets))
+    return F.coalesce(*(F.when(ip.bitwiseAND(_long(int(n.netmask))) == _long(int(n.network_address)), _hit(k, c)) for n, k, c in nets))
 
 
 def _within(hi: Column, lo: Column, net: ipaddress.IPv6Network) -> Column:
@@ -72,9 +79,9 @@ def _within(hi: Column, lo: Column, net: ipaddress.IPv6Network) -> Column:
     for word, shift in ((hi, 64), (lo, 0)):
         mask, value = _signed(int(net.netmask) >> shift), _signed(int(net.network_address) >> shift)
         if mask == -1:
-            tests.append(word == F.lit(value).cast("long"))
+            tests.append(word == _long(value))
         elif mask:
-            tests.append(word.bitwiseAND(F.lit(mask).cast("long")) == F.lit(value).cast("long"))
+            tests.append(word.bitwiseAND(_long(mask)) == _long(value))
     return reduce(Column.__and__, tests)
 
 
@@ -82,7 +89,7 @@ def classify_v6(hi: Column, lo: Column) -> Column:
     """struct<kind, category> of an IPv6 address as two longs. Its own ranges come first; then an IPv4 address that it
     carries decides."""
     own = [F.when(_within(hi, lo, ipaddress.ip_network(r)), _hit(k, c)) for r, k, c in V6_RANGES]
-    low32 = F.lit(0xFFFFFFFF).cast("long")
+    low32 = _long(0xFFFFFFFF)
     carried = F.coalesce(*(F.when(_within(hi, lo, ipaddress.ip_network(r)), (lo if at == 0 else F.shiftrightunsigned(hi, at - 64)).bitwiseAND(low32)) for r, at in EMBEDDED_V4))
     return F.coalesce(*own, classify_v4(carried))
 

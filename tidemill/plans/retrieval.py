@@ -43,13 +43,13 @@ def _key(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
-def targets(df: DataFrame, url: str, dns: DataFrame, settings: Settings, redirect: bool) -> DataFrame:
+def targets(df: DataFrame, url: str, answers: DataFrame, settings: Settings, redirect: bool) -> DataFrame:
     """Adds site, the url's origin, and error: what is wrong with the url itself or with its host's answers."""
     c, kept = F.col("checked"), df.columns
     df = urls.check_urls(df, url, settings.policy.allow_loopback, redirect)
     # Plain columns from here on: fields of a struct don't pass through generators and joins as well.
     df = df.select(*kept, c["error_code"].alias("_code"), c["error_message"].alias("_message"), F.when(c["host_kind"] == "name", c["host"]).alias("_host"), urls.origin(c).alias("site"))
-    answers = hosts.resolve(dns, settings.policy, redirect).select(F.col("host").alias("_known"), F.col("error_code").alias("_dns_code"), F.col("error_message").alias("_dns_message"))
+    answers = answers.select(F.col("host").alias("_known"), F.col("error_code").alias("_dns_code"), F.col("error_message").alias("_dns_message"))
     df = df.withColumn("_name", F.when(F.col("_code").isNull(), F.col("_host"))).join(answers, F.col("_name") == F.col("_known"), "left")
     bad = _failure(F.col("_code").isNotNull(), F.col("_code"), F.col("_message"))
     unknown = _failure(F.col("_name").isNotNull() & F.col("_known").isNull(), "dns_failure", errors.NO_DNS)
@@ -59,24 +59,32 @@ def targets(df: DataFrame, url: str, dns: DataFrame, settings: Settings, redirec
 
 def redirect_edges(responses: DataFrame, dns: DataFrame, settings: Settings) -> DataFrame:
     """(_from, _to, _to_error): each redirect with its target checked, once however many requests come by. Every hop
-    joins it, so it is kept; an executor that is lost has its part made again."""
+    joins it, so it is kept in memory and on disk until it is unpersisted; an executor that is lost has its part made
+    again."""
+    return _edges(responses, hosts.resolve(dns, settings.policy, redirect=True), settings)
+
+
+def _edges(responses: DataFrame, answers: DataFrame, settings: Settings) -> DataFrame:
     location = F.element_at(content.header(F.col("headers"), "location"), 1)
     moved = responses.where(F.col("status").isin(*STATUSES) & ~content.headers_too_large(F.col("headers")))
     moved = moved.select(_key(F.col("url")).alias("_from"), urls.resolve_location(F.col("url"), location).alias("_to")).where("_to IS NOT NULL")
-    return targets(moved, "_to", dns, settings, redirect=True).select("_from", "_to", F.col("error").alias("_to_error")).persist(StorageLevel.MEMORY_AND_DISK)
+    return targets(moved, "_to", answers, settings, redirect=True).select("_from", "_to", F.col("error").alias("_to_error")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def followed(df: DataFrame, edges: DataFrame) -> DataFrame:
-    """current, redirects and error after the redirects: a join for each hop, of a few columns."""
-    if edges.isEmpty():  # a plan without the joins; the edges are kept, so this costs nothing twice
-        return df
+    """current, redirects and error after the redirects. Edges are followed among themselves, a join for each hop; the
+    rows of df meet the ends of their chains in one join. Where there are no redirects, Spark finds the joins empty."""
+    step = edges.select(F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_to_error").alias("_next_error"))
+    chain = edges.select("_from", F.col("_to").alias("_end"), F.lit(1).alias("_hops"), F.col("_to_error").alias("_end_error"))
+    on = lambda more: F.when(F.col("_end_error").isNull() & more, _key(F.col("_end"))) == F.col("_at")
+    for _ in range(MOST_REDIRECTS - 1):
+        chain = chain.join(step, on(F.lit(True)), "left")
+        chain = chain.select("_from", F.coalesce("_next", "_end").alias("_end"), (F.col("_hops") + F.col("_next").isNotNull().cast("int")).alias("_hops"), F.coalesce("_end_error", "_next_error").alias("_end_error"))
+    chain = chain.join(step.select("_at"), on(F.col("_hops") == MOST_REDIRECTS), "left")
+    chain = chain.select("_from", "_end", "_hops", F.coalesce("_end_error", _failure(F.col("_at").isNotNull(), "too_many_redirects", errors.TOO_MANY_REDIRECTS)).alias("_end_error"))
     keep = [c for c in df.columns if c not in ("current", "redirects", "error")]
-    for _ in range(MOST_REDIRECTS):
-        df = df.join(edges, F.when(F.col("error").isNull(), _key(F.col("current"))) == F.col("_from"), "left")
-        df = df.select(*keep, F.coalesce("_to", "current").alias("current"), (F.col("redirects") + F.col("_to").isNotNull().cast("int")).alias("redirects"), F.coalesce("error", "_to_error").alias("error"))
-    more = edges.select(F.col("_from").alias("_more"))
-    df = df.join(more, F.when(F.col("error").isNull() & (F.col("redirects") == MOST_REDIRECTS), _key(F.col("current"))) == F.col("_more"), "left")
-    return df.select(*keep, "current", "redirects", F.coalesce("error", _failure(F.col("_more").isNotNull(), "too_many_redirects", errors.TOO_MANY_REDIRECTS)).alias("error"))
+    df = df.join(chain, F.when(F.col("error").isNull(), _key(F.col("current"))) == F.col("_from"), "left")
+    return df.select(*keep, F.coalesce("_end", "current").alias("current"), (F.col("redirects") + F.coalesce("_hops", F.lit(0))).alias("redirects"), F.coalesce("error", "_end_error").alias("error"))
 
 
 def answered(df: DataFrame, responses: DataFrame, cap: int) -> DataFrame:
@@ -121,19 +129,22 @@ def converted(df: DataFrame, settings: Settings) -> DataFrame:
     return df.withColumn("error", error).withColumn("content", F.when(F.col("_page"), F.col("_md.markdown")).otherwise(F.col("_text"))).drop("_z", "_bytes", "_text", "_page", "_md", "body")
 
 
-def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
+def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataFrame | None = None, settings: Settings | None = None, edges: DataFrame | None = None) -> DataFrame:
     """requests (request_id, args: a JSON object) to request_id, url, final_url, status, redirects, error_code, returned,
     more, total, text: what the caller gets, error or window. One row for each request, in no order.
 
     responses has one row for each url; dns any number for each host. A failed request is a row like others. Redirects
-    are checked once each and then followed by joins, so the plan grows with the hops, not with their number squared.
+    are checked once each and followed among themselves. edges are redirect_edges() of the same tables, for a caller who
+    wants to unpersist them afterwards. Nothing runs before the result is read.
     """
     settings = settings or Settings()
+    answers = hosts.resolve(dns, settings.policy)
+    after = answers if not settings.policy.private_hosts else hosts.resolve(dns, settings.policy, redirect=True)
     a = F.col("_a")
     df = bound(requests.select("request_id", "args"), _a=parse_arguments(F.col("args")))
     bad = _failure(a["error_code"].isNotNull(), a["error_code"], a["error_message"])
     df = df.select("request_id", a["url"].alias("url"), a["max_length"].alias("max_length"), F.coalesce(a["start_index"], F.lit(0)).alias("start_index"), F.coalesce(a["raw"], F.lit(False)).alias("raw"), bad.alias("bad_arguments"))
-    df = targets(df, "url", dns, settings, redirect=False)
+    df = targets(df, "url", answers, settings, redirect=False)
     error = F.coalesce("bad_arguments", "error")
     if settings.enforce_robots and robots is not None:
         rules = robots_rules.records(robots).select(F.col("origin").alias("_origin"), "records")
@@ -141,7 +152,7 @@ def run(requests: DataFrame, dns: DataFrame, responses: DataFrame, robots: DataF
         path = urls.path(F.col("url"))
         error = F.coalesce(error, _failure(~robots_rules.allowed(F.col("records"), F.lit(settings.agent), path), "robots_disallowed", F.concat(F.lit("robots.txt disallows fetching "), path)))
     df = df.select("request_id", "url", "max_length", "start_index", "raw", F.col("url").alias("current"), F.lit(0).alias("redirects"), error.alias("error"))
-    df = followed(df, redirect_edges(responses, dns, settings))
+    df = followed(df, _edges(responses, after, settings) if edges is None else edges)
     df = converted(answered(df, responses, settings.cap_bytes), settings)
     df = df.withColumn("window", text.window(F.col("content"), F.col("start_index"), text.effective_length(F.col("max_length"), settings.length_cap)))
     shown = text.with_header(text.render(F.col("window"), text.clamped_to(F.col("max_length"), settings.length_cap)), F.col("redirects"), urls.shown(F.col("current")), F.col("status"))

@@ -18,6 +18,8 @@ def serve(requests: DataFrame, dns: DataFrame, responses: DataFrame, out: str, c
     read anew by each batch."""
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        retrieval.run(batch, dns, responses, robots, settings).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        edges = retrieval.redirect_edges(responses, dns, settings or retrieval.Settings())
+        retrieval.run(batch, dns, responses, robots, settings, edges).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        edges.unpersist()
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
