@@ -119,14 +119,73 @@ def test_op1_follows_order(spark):
     assert like(5, 6) > 0.5  # numbered occurrences make long repetitions differ by little
 
 
-def test_op1_occurrence_numbers(spark):
-    """The array expressions against a plain loop: ranks take the k-mer's number among its equals."""
+def plain_sketch(text, k, tuple_size, slots):
+    """Order MinHash by plain loops, with the hashes of the columns."""
+    import struct
+
+    import xxhash
+
+    def chain(values, sizes="q"):
+        seed = 42
+        for i, v in enumerate(values):
+            data = v.encode() if isinstance(v, str) else struct.pack("<" + sizes[min(i, len(sizes) - 1)], v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed - (seed >> 63 << 64)
+
+    unsigned = lambda x: x % 2**64
+    words = [chain([w]) for w in WORD.findall(text)]
+    if not words:
+        return [0] * slots
+    kmers = [chain(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [chain(words)]
+    seen, ranked = Counter(), []
+    for pos, h in enumerate(kmers):
+        top = unsigned(h) >> 28
+        ranked.append((unsigned(chain([top, seen[top]], "qi")) >> 28, pos))  # the number of the k-mer among its equals
+        seen[top] += 1
+    ranked.sort()
+    out = []
+    for i in range(slots):
+        start = 2**63 // slots * i
+        first = sum((r << 27) | pos < start for r, pos in ranked)
+        picked = sorted({ranked[(first + j) % len(ranked)][1] for j in range(tuple_size)})
+        out.append(unsigned(chain([kmers[p] for p in picked])) >> 32)
+    return out
+
+
+def test_op1_against_plain_loops(spark):
+    """The array expressions: k-mers, their numbers among equals, ranks, tuples in the order of the text."""
     from tidemill.llm import fingerprints as fp
 
-    df = spark.createDataFrame([("a b a b a b a b c a b a b a",)], "t string")
-    sketch = df.transform(lambda d: fp.with_sketch(d, "t", "s", k=2, tuple_size=2, slots=8)).first().s
-    again = df.transform(lambda d: fp.with_sketch(d, "t", "s", k=2, tuple_size=2, slots=8)).first().s
-    assert sketch == again and len(set(sketch)) > 1
+    rng = random.Random(3)
+    texts = ["", " \t", "a", "a b", "a b a b a b a b c a b a b a", "x " * 200] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(20)]
+    for k, tuple_size, slots in ((2, 2, 8), (5, 2, 64), (1, 3, 16)):
+        df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+        got = {r.id: list(r.s) for r in fp.with_sketch(df, "t", "s", k, tuple_size, slots).collect()}
+        assert got == {i: plain_sketch(t, k, tuple_size, slots) for i, t in enumerate(texts)}
+
+
+def test_op1_spread(spark):
+    """Likeness falls with the words that are changed, and strays little: its mean over texts and its spread."""
+    import statistics as st
+
+    from tidemill.llm import fingerprints as fp
+
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        words = [f"w{rng.random()}" for _ in range(64)]
+        for changes in (1, 4, 16):
+            other = list(words)
+            for j in rng.sample(range(64), changes):
+                other[j] = "new"
+            rows.append((changes, " ".join(words), " ".join(other)))
+    df = spark.createDataFrame(rows, "changes int, a string, b string")
+    df = fp.with_sketch(fp.with_sketch(df, "a", "sa"), "b", "sb").select("changes", fp.likeness("sa", "sb").alias("x"))
+    found = defaultdict(list)
+    for r in df.collect():
+        found[r.changes].append(r.x)
+    mean = {c: st.mean(v) for c, v in found.items()}
+    # One word changes 5 of 60 k-mers: both of a tuple are least in both texts with a chance of about (55 / 65) ** 2.
+    assert abs(mean[1] - (55 / 65) ** 2) < 0.05 and mean[1] > mean[4] + 0.15 > mean[16] + 0.3 and max(map(st.pstdev, found.values())) < 0.12
 
 
 def test_op2(spark, tables, rows):
@@ -525,6 +584,33 @@ def test_op7(spark, tables, rows):
             assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_op7_score_against_plain_loops(spark, tables, rows):
+    """The model's score of each text from counts, discount and lattice, one word after another."""
+    import math
+
+    from tidemill.llm import lm
+
+    words = {r[0]: WORD.findall(lowered(r[1] or "")) for r in rows}
+    train = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    ends = sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in words)
+    prior = lm.vocabulary(lm.default_vocabulary())
+    logs = {p: math.log(x) for p, x in prior.items()}
+    for cut in ("longest", "best"):
+        lattice, n = lm.Lattice(logs), Counter()
+        for w in train:
+            n.update(getattr(lattice, cut)(w))
+        total = sum(n.values()) + lm.PRIOR_TOKENS + 1
+        logs = {p: math.log((n[p] + lm.PRIOR_TOKENS * x) / total) for p, x in prior.items()}
+    lattice = lm.Lattice(logs)
+    ones, twos = (sum(c == k for c in train.values()) for k in (1, 2))
+    d, tokens, distinct = ones / (ones + 2 * twos), sum(train.values()) + ends, len(train) + 1
+    chance = lambda c, p: max(c - d, 0) / tokens + d * distinct / tokens * p
+    out = by_id(run(spark, "op7_lattice_scores", tables))
+    for i, ws in words.items():
+        want = math.log10(chance(ends, 1 / total)) + sum(math.log10(chance(train[w], math.exp(lattice.log_probability(w)))) for w in ws)
+        assert out[i]["score"] == pytest.approx(want)
+
+
 def test_op7_lattice():
     import math
     from itertools import product
@@ -722,6 +808,38 @@ def test_op9(spark, tables, rows):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_op9_kept_against_plain_loops(spark, sf_dir):
+    """The verdict on each document of a table: statistics, the fit on labelled rows, and a walk down each tree."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemill.llm import quality
+
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").collect()}
+    stats = {i: quality.statistics(t) for i, t in docs.items()}
+    failed = {i: v[0] < 50 or 100 * v[4] > 50 * v[0] for i, v in stats.items()}
+    known = sorted((i, *stats[i][5:], q) for i, q in labels.items() if i in docs and not failed[i])
+    fitted = quality.Judge(pd.DataFrame(known, columns=["_id", *quality.FEATURES, "quality"]))
+
+    def score(row):
+        depths = []
+        for feature, split, left, path in fitted.forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + int(row[feature[node]] > split[node])
+            depths.append(path[node])
+        n = fitted.forest.size
+        return 2 ** -(sum(depths) / len(depths) / (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n))
+
+    out = by_id(run(spark, "op9_quality_forest", d))
+    for i, v in stats.items():
+        s = score(fitted.excess(np.array([v[5:]]))[0])
+        assert out[i]["score"] == pytest.approx(s) and (abs(s - fitted.limit) < 1e-9 or out[i]["kept"] == (not failed[i] and s <= fitted.limit))
+    assert 0 < sum(r["kept"] for r in out.values()) < len(out)
+
+
 def test_op9_forest_finds_junk(spark, sf_dir):
     from tidemill.llm import quality
 
@@ -864,6 +982,42 @@ def test_op10_features():
     assert all(set.intersection(*v) for v in ids.values()) and len(set().union(*got.values())) == len(ids)
 
 
+def test_op10_score_against_plain_loops(spark):
+    """Weights from counts of rows, the strongest feature of each word, and the sum of the largest few."""
+    import math
+
+    from tidemill.llm import toxicity as T
+
+    rng = random.Random(12)
+    clean = ["harbour", "lantern", "meadow", "oatmeal", "pebbles", "quarry", "orchard", "willow"]
+    bad = ["grumpkin", "snorfle", "blathers", "vilest"]
+    train, held = ([i for i in range(2400) if (zlib.crc32(str(i).encode()) % 4 == 2) == h] for h in (False, True))
+    text = {i: " ".join(rng.choices(clean, k=8) + ([rng.choice(bad[: 2 + i % 3])] + ["sn0rfle"] * (i % 5 == 1) if i % 2 else [])) for i in train + held}
+    docs = spark.createDataFrame([(i, t) for i, t in text.items()], "_id long, _text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in train], "_id long, toxic int")
+    old, T.HEAVY_SHARE = T.HEAVY_SHARE, 0.2  # so that some weights are joined
+    try:
+        channel = T.channel_of(docs)
+        scorer, table, (a, b, c) = T.trained(docs.where(~F.col("_id").isin(held)), labels, channel, 100_000)
+        got = {r["_id"]: (r["top"], r["some"]) for r in T.evidence_of(docs, "_id", "long", channel, scorer, table).collect()}
+    finally:
+        T.HEAVY_SHARE = old
+    assert len(scorer.keys) and table.count()
+    part = {r["_id"]: r["p"] for r in docs.select("_id", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(4)).alias("p")).collect()}
+    words = dict(zip(text, restored(channel, *text.values())))
+    of = lambda w: {("whole", w)} | {w[:n] for n in T.PREFIXES if len(w) >= n}
+    n, rows = {0: Counter(), 1: Counter()}, Counter()
+    for i in train:
+        if part[i]:
+            rows[i % 2] += 1
+            n[i % 2].update(set().union(*map(of, words[i])))
+    weight = {f: math.log((x + 0.1) / (rows[1] + 0.2)) - math.log((n[0][f] + 0.5) / (rows[0] + 1)) for f, x in n[1].items() if x >= T.LEAST_ROWS}
+    for i in text:
+        best = sorted((max([0.0, *(w for f in of(x) if (w := weight.get(f, 0)) > 1)]) for x in words[i]), reverse=True)[: T.TOP]
+        assert got[i] == (pytest.approx(best[0]), pytest.approx(sum(best)))
+    assert {got[i][0] > 0 for i in held if i % 2} == {True} and {got[i][0] for i in held if i % 2 == 0} == {0.0}
+
+
 def test_op10_rare_words(spark):
     from tidemill.llm import toxicity
 

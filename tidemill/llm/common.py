@@ -18,7 +18,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_dirs: dict[str, str] = {}
+_dirs: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,26 +52,25 @@ def n_words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one stands in only where none is configured."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
+    """The folder that driver and executors share: spark.checkpoint.dir, and where it isn't set the warehouse, or in
+    local mode, where driver and executors are one, a temporary folder."""
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-    return _own_dirs[app]
+    if spark.sparkContext.master.startswith("local"):
+        return "file://" + tempfile.mkdtemp(prefix="tidemill-")
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def tables_dir(spark: SparkSession) -> str:
-    """Where this application writes its tables."""
-    return f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}"
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Deletes the tables that this application has written. Results that haven't been read to their end need them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Where this application writes its tables; removed when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _dirs:
+        _dirs[app] = f"{shared_dir(spark)}/tidemill/{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_dirs[app])
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _dirs[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -117,7 +117,6 @@ class Lattice:
                 i += 1
         return out
 
-
     def best(self, word: str) -> list[str]:
         """The pieces of the word's likeliest segmentation."""
         s, logs, prefixes = START + word, self.logs, self.prefixes
@@ -169,7 +168,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[held].update(lower_words(text))
-                if len(counts[0]) > MOST_WORDS:
+                if len(counts[0]) + len(counts[1]) > MOST_WORDS:
                     yield out()
         yield out()
 
