@@ -233,7 +233,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         work = work.select(F.col("_row._id").alias("_id2"), F.col("_row._th").alias("_th2"), "_key", "_class", "_block", "_p", "_q", "_right")
-        work = src.join(work, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).drop("_id", "_th", "_id2", "_th2")
+        work = src.hint("merge").join(work, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).drop("_id", "_th", "_id2", "_th2")
         return work.groupBy("_block", "_p", "_q").applyInPandas(links, "a long, b long")
 
     # Blocks of one page whole; of larger ones the head with all that it meets.
