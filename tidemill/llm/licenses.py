@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,18 +116,24 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rules = [(t, *deciding_rules(label, text)) for t, (label, text) in enumerate(notices, len(phrases))]
     rules = F.broadcast(spark.createDataFrame(rules, "_rule int, _must array<array<string>>, _never array<string>, _versions array<string>"))
     sizes = sorted({min(k, len(text.split())) for text in [p[0] for p in phrases] + [n[1] for n in notices]})
-    grams = F.broadcast(templates.withColumn("_ws", F.split("_gram", " ")).withColumn("_h", F.xxhash64(F.transform("_ws", lambda w: F.xxhash64(w)))).drop("_gram"))
+    grams = templates.withColumn("_ws", F.split("_gram", " ")).withColumn("_h", F.xxhash64(F.transform("_ws", lambda w: F.xxhash64(w)))).drop("_gram")
 
     src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), C.text_of(text_col).alias("_text"))
     src = src.withColumn("_th", F.xxhash64("_text")).withColumn("_words", license_words(F.col("_text"))).drop("_text")
 
     seen = src.select("_id", "_th", "_words", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hs"))
     at = lambda i: F.get(F.col("_hs"), i)
-    rolled = F.flatten(F.array(*(F.transform(F.slice("_hs", 1, F.greatest(F.size("_hs") - (s - 1), F.lit(0))), lambda h, i: F.struct(i.alias("i"), F.lit(s).alias("size"), F.xxhash64(h, *(at(i + j) for j in range(1, s))).alias("h"))) for s in sizes)))
-    rolled = seen.select("_id", "_th", "_words", F.explode(rolled).alias("_g"))
-    votes = rolled.join(grams, (F.col("_g.size") == F.col("_size")) & (F.col("_g.h") == F.col("_h")))
-    votes = votes.where(F.slice("_words", F.col("_g.i") + 1, F.col("_size")) == F.col("_ws"))
-    votes = votes.select("_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size", "_at", (F.col("_g.i") - F.col("_at")).alias("_diagonal"), "_words")
+    # All runs that start at a word at once. Near the text's end a longer one is cut short; no word by word match has it.
+    hashes = lambda h, i: (F.xxhash64(h, *(at(i + j) for j in range(1, s))).alias(f"h{s}") for s in sizes)
+    starts = F.slice("_hs", 1, F.greatest(F.size("_hs") - (sizes[0] - 1), F.lit(0)))
+    rolled = seen.select("_id", "_th", "_words", F.explode(F.transform(starts, lambda h, i: F.struct(i.alias("i"), *hashes(h, i)))).alias("_g"))
+    # The templates' hashes, a few hundred, are constants that a run is held against where it is made; what may match is joined.
+    known = {s: [r["_h"] for r in grams.where(F.col("_size") == s).select("_h").distinct().collect()] for s in sizes}
+    rolled = rolled.where(reduce(Column.__or__, (F.col(f"_g.h{s}").isin(known[s]) for s in sizes)))
+    rolled = rolled.select("_id", "_th", "_words", "_g.i", F.inline(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"_g.h{s}").alias("h")) for s in sizes))))
+    votes = rolled.join(F.broadcast(grams), (F.col("size") == F.col("_size")) & (F.col("h") == F.col("_h")))
+    votes = votes.where(F.slice("_words", F.col("i") + 1, F.col("_size")) == F.col("_ws"))
+    votes = votes.select("_id", "_th", "_t", "_base", "_label", "_grams", "_of", "_size", "_at", (F.col("i") - F.col("_at")).alias("_diagonal"), "_words")
     # The words that a place starting on this diagonal can have; no more of the text goes on.
     votes = votes.withColumn("_near", F.when(~F.col("_base"), F.slice("_words", F.greatest(F.col("_diagonal"), F.lit(0)) + 1, 2 * F.col("_of") + 3 * NEAR_DIAGONALS))).drop("_words")
 
