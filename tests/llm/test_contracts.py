@@ -392,11 +392,12 @@ def test_op3_outsiders(spark):
             texts.append(" ".join(t))
     rng.shuffle(texts)
     old, jaccard.PAGE = jaccard.PAGE, 7
+    whole, jaccard.WHOLE = jaccard.WHOLE, 3
     try:
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         got = {r["_id"]: r["component_id"] for r in jaccard.similarity_classes(df, k=2, num=80, den=100).collect()}
     finally:
-        jaccard.PAGE = old
+        jaccard.PAGE, jaccard.WHOLE = old, whole
     assert got == classes({i: shingle_set(t, 2) for i, t in enumerate(texts)}, 80, 100)
 
 

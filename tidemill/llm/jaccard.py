@@ -22,6 +22,8 @@ DIMS = 256
 FANOUT = 16
 #: Points to a page of a block, and shingles: two pages are one task's work.
 PAGE, PAGE_SHINGLES = 512, 2_000_000
+#: Larger blocks are joined by their head first: most are families that it connects, at a check for each set.
+WHOLE = 32
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
 #: Keys of sets that a task remembers to have signed; a forgotten one is signed again.
@@ -185,7 +187,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets are one point. Sets meet in blocks by shared signatures; a block is named by its least key, so that all
     that meet anywhere meet in a block to which each set belongs a few times. First the set that names a block is
     joined with all others there, which makes most families one class; then those of a block that are outside its class
-    are joined with all in it. Blocks of one page are joined at once. All joins are of R-trees over group counts, in pages, and pairs that survive are
+    are joined with all in it. Blocks of up to WHOLE sets are joined at once. All joins are of R-trees over group counts, in pages, and pairs that survive are
     verified on the sets themselves. So each text goes along once for each of its blocks, and again only for pages of
     outsiders. Only links that connect something new leave a task: a group of copies gives as many rows as it has texts.
 
@@ -236,16 +238,16 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         work = src.hint("merge").join(work, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).drop("_id", "_th", "_id2", "_th2")
         return work.groupBy("_block", "_p", "_q").applyInPandas(links, "a long, b long")
 
-    # Blocks of one page whole; of larger ones the head with all that it meets.
-    sizes = C.written(met.groupBy("_block").agg(paged(F.count("*"), F.sum("_n")).alias("_pages")), "jaccard-sizes")
+    # Small blocks whole; of larger ones the head with all that it meets.
+    sizes = C.written(met.groupBy("_block").agg(paged(F.count("*"), F.sum("_n")).alias("_pages"), (F.count("*") > WHOLE).alias("_large")), "jaccard-sizes")
     columns = ["_key", F.col("_key").alias("_class"), "_block", "_row", "_p", F.lit(-1).alias("_q")]
-    members = met.join(sizes, "_block").withColumn("_p", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).select(*columns, (F.col("_pages") > 1).alias("_right"))
+    members = met.join(sizes, "_block").withColumn("_p", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).select(*columns, (F.col("_large") | (F.col("_pages") > 1)).alias("_right"))
     work = heads.join(sizes, "_block").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1))).select(*columns, F.lit(False).alias("_right"))
     classes = C.written(connected_components(joined(work.union(members))), "jaccard-classes")
 
     # Of larger blocks, those outside the class of the head with all that the block holds.
     of = lambda c, name: classes.select(F.col("node").alias(c), F.col("component").alias(name))
-    met = met.join(sizes.where("_pages > 1"), "_block", "left_semi").join(of("_key", "_kc"), "_key", "left").join(of("_block", "_bc"), "_block", "left")
+    met = met.join(sizes.where("_large OR _pages > 1"), "_block", "left_semi").join(of("_key", "_kc"), "_key", "left").join(of("_block", "_bc"), "_block", "left")
     met = met.withColumn("_class", F.coalesce("_kc", "_key")).withColumn("_out", F.col("_class") != F.coalesce("_bc", "_block")).drop("_kc", "_bc")
     met = C.written(met, "jaccard-classed")
     sizes = met.groupBy("_block").agg(paged(F.count_if("_out"), F.sum(F.when(F.col("_out"), F.col("_n")))).alias("_outs"), (paged(1 + F.count_if(~F.col("_out")), F.sum("_n"))).alias("_ins"))
