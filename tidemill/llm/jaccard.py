@@ -22,7 +22,8 @@ DIMS = 256
 FANOUT = 16
 #: Points to a page of a block, and shingles: two pages are one task's work.
 PAGE, PAGE_SHINGLES = 512, 2_000_000
-#: Larger blocks are joined by their head first: most are families that it connects, at a check for each set.
+#: Larger blocks are joined by their head first: most are families that it connects, at a check for each set. Where looser
+#: links leave many outsiders, whose texts go along again, up to a page at once takes less.
 WHOLE = 32
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 250_000
@@ -180,14 +181,14 @@ def spanning_links(keys: list[int], right: list[bool], texts: list[str], classes
     return out
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, whole: int | None = None) -> DataFrame:
     """(_id, _th, n_shingles, component_id, _class) for each row of docs: the class that links of at least num/den Jaccard
     similarity of k-word shingles make, named by its least id; _class is its key, null for a row without shingles.
 
     Equal sets are one point. Sets meet in blocks by shared signatures; a block is named by its least key, so that all
     that meet anywhere meet in a block to which each set belongs a few times. First the set that names a block is
     joined with all others there, which makes most families one class; then those of a block that are outside its class
-    are joined with all in it. Blocks of up to WHOLE sets are joined at once. All joins are of R-trees over group counts, in pages, and pairs that survive are
+    are joined with all in it. Blocks of up to `whole` sets (WHOLE) are joined at once. All joins are of R-trees over group counts, in pages, and pairs that survive are
     verified on the sets themselves. So each text goes along once for each of its blocks, and again only for pages of
     outsiders. Only links that connect something new leave a task: a group of copies gives as many rows as it has texts.
 
@@ -239,7 +240,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return work.groupBy("_block", "_p", "_q").applyInPandas(links, "a long, b long")
 
     # Small blocks whole; of larger ones the head with all that it meets.
-    sizes = C.written(met.groupBy("_block").agg(paged(F.count("*"), F.sum("_n")).alias("_pages"), (F.count("*") > WHOLE).alias("_large")), "jaccard-sizes")
+    sizes = C.written(met.groupBy("_block").agg(paged(F.count("*"), F.sum("_n")).alias("_pages"), (F.count("*") > (whole or WHOLE)).alias("_large")), "jaccard-sizes")
     columns = ["_key", F.col("_key").alias("_class"), "_block", "_row", "_p", F.lit(-1).alias("_q")]
     members = met.join(sizes, "_block").withColumn("_p", F.pmod(F.xxhash64("_key"), F.col("_pages")).cast("int")).select(*columns, (F.col("_large") | (F.col("_pages") > 1)).alias("_right"))
     work = heads.join(sizes, "_block").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1))).select(*columns, F.lit(False).alias("_right"))
