@@ -48,7 +48,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of least id (null ids last, ties by the text's hash) of each near-duplicate class: five-word
     shingles, similarity of 0.8 or more. Rows without words are classes of their own with the rows of their id and text.
     Of repeated rows the least one stays; an empty table gives an empty one."""
-    classes = jaccard.similarity_classes(docs, k=5, num=80, den=100)
+    classes = jaccard.similarity_classes(docs, k=5, num=80, den=100, whole=jaccard.PAGE)
     order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_th")
     first = classes.where("_class IS NOT NULL").groupBy("_class").agg(F.min(order).alias("_f")).select("_f._id", "_f._th")
     first = first.union(classes.where("_class IS NULL").select("_id", "_th")).distinct()
