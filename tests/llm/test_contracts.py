@@ -1072,6 +1072,29 @@ def test_op10_rare_words(spark):
     assert out[held[0]]["score"] > 0.9 and out[held[1]]["predicted"] == 0
 
 
+def test_op10_pages(spark):
+    """Pages of weights of any size give one result, and no join's rows grow with the words of the texts."""
+    from tidemill.llm import toxicity as T
+
+    rng = random.Random(31)
+    clean, rude = ([f"{a}{b}{c}" for a in x for b in "aeiou" for c in ("ndle", "rkin", "stop")] for x in (("h", "l", "m"), ("gr", "sn", "bl")))
+    rows = [(i, " ".join(rng.choices(clean, k=6) + (rng.sample(rude, 3) if i % 2 else []))) for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "_id long, _text string"), spark.createDataFrame([(i, i % 2) for i in range(900)], "_id long, toxic int")
+    old, found = (T.HEAVY_SHARE, T.PAGE), []
+    try:
+        for T.HEAVY_SHARE, T.PAGE in ((0.0, 1 << 18), (1.0, 1 << 18), (1.0, 50), (0.1, 20)):
+            channel = T.channel_of(docs)
+            scorer, table, weights = T.trained(docs, labels, channel, 100_000)
+            out = T.evidence_of(docs, "_id", "long", channel, scorer, table)
+            assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+            found.append((len(T.pages(table)), weights, {r["_id"]: (r["top"], r["some"]) for r in out.collect()}))
+    finally:
+        T.HEAVY_SHARE, T.PAGE = old
+    (n, weights, want), *others = found
+    assert n == 1 and others[0][0] == 1 and others[1][0] > 2 and len(want) == 900 and {want[i][0] > 0 for i in range(1, 900, 2)} == {True}
+    assert all(w == pytest.approx(weights) and got == {i: pytest.approx(v) for i, v in want.items()} for _, w, got in others)
+
+
 def test_op10_held_out(spark, sf_dir):
     from tidemill.llm import toxicity
 

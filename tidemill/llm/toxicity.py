@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,13 @@ STATES = 28
 SAMPLE_ROWS = 20_000
 #: Features in fewer toxic training rows than this have no weight, whatever the input.
 LEAST_ROWS = 4
-#: Features in at least this share of the toxic training rows are broadcast with their weights: the share bounds how
-#: many there are. The weights of all others are joined.
+#: Features in at least this share of the toxic training rows are heavy: the share bounds how many there are. They go with
+#: every pass; the weights of all others go page by page.
 HEAVY_SHARE = 0.001
-#: Bits of the filter of the features whose weights are joined.
+#: Weights of a page, about: the first goes with the pass over the texts, each further one with a pass over what is left
+#: to look up.
+PAGE = 1 << 18
+#: Bits of the filters of features.
 FILTER_BITS = 1 << 22
 PREFIXES = (4, 5, 6, 7)
 TOP = 5
@@ -425,29 +429,38 @@ class Filter:
         return (self.bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-class Scorer:
-    """Weights of features: those of heavy ones here, all others in a table (feature, weight)."""
+class Weights:
+    """Features and their weights, as arrays."""
 
-    def __init__(self, heavy: dict[int, float], light: Filter):
-        keys = np.array(sorted(k % 2**64 for k in heavy), np.uint64)
-        self.keys, self.weights, self.light = keys, np.array([heavy[int(k) - (int(k) >> 63 << 64)] for k in keys]), light
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        order = np.argsort(features)
+        self.keys, self.weights = features[order], weights[order]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Weights:
+        found = table.select("feature", "weight").toArrow()
+        return cls(found["feature"].to_numpy().astype(np.int64).view(np.uint64), found["weight"].to_numpy().astype(float))
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
-        """0 for features that aren't heavy."""
+        """0 for features that aren't here."""
         if not len(self.keys):
             return np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.weights[at], 0.0)
 
-    def evidence(self, channel: Channel, r: Read, rows: int) -> list[tuple[list, list, list, list]]:
-        """For each row the largest weights of words that the table can't change; and of all others a number, the
-        weight so far and the features to look up."""
+
+class Scorer(Weights):
+    """Weights of heavy features; all others are in a table (feature, weight)."""
+
+    def evidence(self, channel: Channel, r: Read, rows: int, page: Weights, later: Filter | None) -> list[tuple[list, list, list, list]]:
+        """For each row the largest weights of words that no later page can change; and of all others a number, the weight
+        so far and the features to look up."""
         weight = lookups = None
 
         def wanted(f: Features) -> np.ndarray:
             nonlocal weight, lookups
-            w = self.weight(f.hash)
-            lookups = (w == 0) & self.light.has(f.hash)
+            w = np.maximum(self.weight(f.hash), page.weight(f.hash))
+            lookups = (w == 0) & later.has(f.hash) if later else np.zeros(len(w), bool)
             weight = np.zeros(len(f.words))
             np.maximum.at(weight, f.word, w)
             return (weight > 0) | f.any(lookups)
@@ -470,25 +483,58 @@ class Scorer:
         return [(sorted(sure, reverse=True)[:TOP], *rest) for sure, *rest in out]
 
 
+def pages(table: DataFrame) -> list[DataFrame]:
+    """Parts of a written table of weights, by their hashes, of about PAGE rows at most."""
+    n = math.ceil(table.count() / PAGE)
+    return [table.where(F.pmod("feature", F.lit(n)) == i) for i in range(n)] if n > 1 else [table]
+
+
+def looked_up(page: Weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Evidence with the weights of a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column("so_far")
+            hashes = b.column("lookups").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            new = np.maximum(old.flatten().to_numpy(zero_copy_only=False), page.weight(hashes))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(old).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield b.set_column(b.schema.get_field_index("so_far"), "so_far", pa.ListArray.from_arrays(pa.array(ends), pa.array(new)))
+
+    return run
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Evidence with all weights known: the largest of each row's words."""
+    for b in batches:
+        best = []
+        for sure, numbers, so_far in zip(*(b.column(c).to_pylist() for c in ("sure", "numbers", "so_far")), strict=True):
+            of: dict[int, float] = {}
+            for i, v in zip(numbers, so_far, strict=True):
+                of[i] = max(v, of.get(i, 0.0))
+            best.append(sorted([*sure, *(v for v in of.values() if v > 0)], reverse=True)[:TOP])
+        yield b.select([0]).append_column("sure", pa.array(best, pa.list_(pa.float64())))
+
+
 def evidence_of(rows: DataFrame, keep: str, kind: str, channel: Channel, scorer: Scorer, table: DataFrame) -> DataFrame:
     """(keep, top, some) for each of rows (keep, _text): the largest weight, and the sum of the largest few, each word
-    counting once with its strongest feature."""
+    counting once with its strongest feature. Weights come to the rows, so nothing is shuffled by feature."""
+    first, *rest = pages(table)
+    page, later = Weights.of(first), Filter.of(reduce(DataFrame.union, rest)) if rest else None
     types = [pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64())]
     names = ["sure", "numbers", "so_far", "lookups"]
+    schema = f"{keep} {kind}, sure array<double>, numbers array<int>, so_far array<double>, lookups array<long>"
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, r in sliced(batches):
-            found = zip(*scorer.evidence(channel, r, len(part)), strict=True)
+            found = zip(*scorer.evidence(channel, r, len(part), page, later), strict=True)
             yield pa.RecordBatch.from_arrays([part.column(keep), *(pa.array(c, t) for c, t in zip(found, types, strict=True))], names=[keep, *names])
 
-    found = rows.select(keep, "_text").mapInArrow(seen, f"{keep} {kind}, sure array<double>, numbers array<int>, so_far array<double>, lookups array<long>")
-    found = C.written(found.withColumn("_row", F.monotonically_increasing_id()), "toxic-evidence")
-    open_ = found.select("_row", F.explode(F.arrays_zip("numbers", "so_far", "lookups")).alias("o")).select("_row", "o.numbers", "o.so_far", F.col("o.lookups").alias("feature"))
-    open_ = open_.hint("merge").join(table, "feature", "left").groupBy("_row", "numbers").agg(F.greatest(F.max("so_far"), F.max(F.coalesce("weight", F.lit(0.0)))).alias("v"))
-    more = open_.where("v > 0").groupBy("_row").agg(F.collect_list("v").alias("more"))
-    best = F.slice(F.sort_array(F.concat("sure", F.coalesce("more", F.expr("cast(array() as array<double>)"))), asc=False), 1, TOP)
-    out = found.select(keep, "_row", "sure").hint("merge").join(more, "_row", "left").select(keep, best.alias("best"))
-    return out.select(keep, F.coalesce(F.get("best", F.lit(0)), F.lit(0.0)).alias("top"), F.aggregate("best", F.lit(0.0), lambda x, y: x + y).alias("some"))
+    found = C.written(rows.select(keep, "_text").mapInArrow(seen, schema), "toxic-evidence")
+    for part in rest:
+        found = C.written(found.mapInArrow(looked_up(Weights.of(part)), schema), "toxic-evidence")
+    if rest:
+        found = found.mapInArrow(folded, f"{keep} {kind}, sure array<double>")
+    return found.select(keep, F.coalesce(F.get("sure", F.lit(0)), F.lit(0.0)).alias("top"), F.aggregate("sure", F.lit(0.0), lambda x, y: x + y).alias("some"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
@@ -573,7 +619,7 @@ def trained(docs: DataFrame, labels: DataFrame, channel: Channel, sample_rows: i
     weights = C.written(in_bad.hint("merge").join(in_good, "feature", "left").select("feature", "n", weight.alias("weight")).where("weight > 1"), "toxic-weights")
     heavy = F.col("n") >= max(LEAST_ROWS, math.ceil(HEAVY_SHARE * n_bad))
     table = weights.where(~heavy).select("feature", "weight")
-    scorer = Scorer({r["feature"]: r["weight"] for r in weights.where(heavy).collect()}, Filter.of(table))
+    scorer = Scorer.of(weights.where(heavy))
     part = C.hashed_sample(rows.where("_part = 0"), "_id", sample_rows)
     seen = evidence_of(part, "toxic", "int", channel, scorer, table).toPandas().sort_values(["top", "some", "toxic"])
     return scorer, table, fit_logistic(seen[["top", "some"]].to_numpy(float), seen["toxic"].to_numpy(float))
